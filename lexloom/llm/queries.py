@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexloom.llm import similar_vectors
+from lexloom.llm import near_duplicates, similar_vectors
 from lexloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +22,25 @@ def p1_embedding_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return near.selectExpr("cast(id as bigint) as vec_id", "cast(neighbour as bigint) as neighbour", "round(sim, 6) as sim", "rank")
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks and parsed documents as one table of ``kind``, ``id`` and ``text``."""
+    chunks = table(spark, folder, "chunks").select(F.lit("chunk").alias("kind"), "id", "text")
+    return chunks.unionByName(table(spark, folder, "parsed_document").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("full_text").alias("text")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    groups = near_duplicates.near_duplicate_groups(_texts(spark, folder), "kind", "id", "text", width=3, threshold=0.7)
+    a, b = groups.alias("a"), groups.alias("b")
+    pairs = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.id") < F.col("b.id")))
+    return pairs.select(F.col("a.kind").alias("item_kind"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(_texts(spark, folder), "kind", "id", "text")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_embedding_neighbours": p1_embedding_neighbours}
+    return {"p1_found": p1_found, "p1_embedding_neighbours": p1_embedding_neighbours, "p4_found": p4_found, "p4_groups": p4_groups}
 
 
 def oracle_sql() -> dict[str, str]:
