@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import near_duplicates, similar_vectors
+from lexloom.llm import confusables, near_duplicates, similar_vectors, splitting
 from lexloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,24 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.unionByName(table(spark, folder, "parsed_document").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("full_text").alias("text")))
 
 
+def _pieces(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
+    """Pieces of chunks and documents; a chunk's spans point into its document where its own span fits its text."""
+    chunks, documents = table(spark, folder, "chunks"), table(spark, folder, "parsed_document")
+    lo, hi = F.get("charspan", F.lit(0)), F.get("charspan", F.lit(1))
+    chunks = chunks.select(F.lit("chunk").alias("kind"), "id", "text", F.when(hi - lo == F.length("text"), lo).alias("offset"))
+    documents = documents.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("full_text").alias("text"), F.lit(0).alias("offset"))
+    return splitting.split_oversized(chunks.unionByName(documents), "kind", "id", "text", F.col("offset"), with_text=with_text)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = _pieces(spark, folder, with_text=False)
+    return pieces.select(F.col("kind").alias("item_kind"), F.col("id").alias("item_id"), "cut").distinct()
+
+
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder, with_text=True)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     groups = near_duplicates.near_duplicate_groups(_texts(spark, folder), "kind", "id", "text", width=3, threshold=0.7)
     a, b = groups.alias("a"), groups.alias("b")
@@ -39,8 +57,20 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(_texts(spark, folder), "kind", "id", "text")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks").select(F.lit("chunk").alias("kind"), "id", F.col("doc_id").alias("doc"), F.get("charspan", F.lit(0)).alias("lo"), F.get("charspan", F.lit(1)).alias("hi"), "text")
+    evidence = table(spark, folder, "evidence").select(F.lit("evidence").alias("kind"), F.col("evidence_id").alias("id"), F.col("document_id").alias("doc"), F.col("start_offset").alias("lo"), F.col("end_offset").alias("hi"), F.col("quote").alias("text"))
+    documents = table(spark, folder, "parsed_document").select(F.col("doc_id").alias("doc"), F.col("full_text").alias("text"))
+    return confusables.lookalike_slices(chunks.unionByName(evidence), documents).toDF("item_kind", "item_id")
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    texts = table(spark, folder, "chunks").select("id", "text").unionByName(table(spark, folder, "evidence").select(F.col("evidence_id").alias("id"), F.col("quote").alias("text")))
+    return confusables.lookalike_groups(texts, "id", "text")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_embedding_neighbours": p1_embedding_neighbours, "p4_found": p4_found, "p4_groups": p4_groups}
+    return {"p1_found": p1_found, "p1_embedding_neighbours": p1_embedding_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_groups": p5_groups}
 
 
 def oracle_sql() -> dict[str, str]:
