@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import confusables, near_duplicates, similar_vectors, splitting
+from lexloom.llm import confusables, leakage, near_duplicates, similar_vectors, splitting
 from lexloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,8 +69,20 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return confusables.lookalike_groups(texts, "id", "text")
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked_spans(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "test_item"), "item_id", "text", length=30)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).selectExpr("cast(id as bigint) as doc_id", "cast(item as bigint) as item_id").distinct()
+
+
+def p6_removal_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.removal_spans(_leaks(spark, folder)).selectExpr("cast(id as bigint) as doc_id", "start", "end", "items")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_embedding_neighbours": p1_embedding_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_groups": p5_groups}
+    return {"p1_found": p1_found, "p1_embedding_neighbours": p1_embedding_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_removal_spans": p6_removal_spans}
 
 
 def oracle_sql() -> dict[str, str]:

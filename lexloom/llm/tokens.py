@@ -46,15 +46,16 @@ def token_stream(texts: list[str | None], offsets: bool = False) -> tuple[np.nda
     points = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = char_classes()[points]
     before = np.r_[np.uint8(0), kind[:-1]] if len(kind) else kind
-    starts = np.flatnonzero((kind == 1) | ((kind == 2) & (before != 2)))
+    begins = (kind == 1) | ((kind == 2) & (before != 2))
+    starts = np.flatnonzero(begins)
     lengths = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1
     bounds = np.cumsum(lengths)
-    record = np.searchsorted(bounds, starts, side="right")
+    record = np.repeat(np.arange(len(texts)), np.diff(np.r_[0, np.searchsorted(starts, bounds)]))
     if not len(starts):
         empty = np.empty(0, np.int64)
         return (record, np.empty(0, np.uint64), empty, empty) if offsets else (record, np.empty(0, np.uint64))
     inside = np.flatnonzero(kind)
-    owner = np.searchsorted(starts, inside, side="right") - 1
+    owner = np.cumsum(begins[inside]) - 1
     place = inside - starts[owner]
     value = (points[inside].astype(np.uint64) + np.uint64(1)) * _powers(int(place.max()) + 1)[place]
     first = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
