@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import confusables, leakage, near_duplicates, similar_vectors, splitting
+from lexloom.llm import confusables, leakage, near_duplicates, residue, similar_vectors, splitting
 from lexloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,8 +81,16 @@ def p6_removal_spans(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.removal_spans(_leaks(spark, folder)).selectExpr("cast(id as bigint) as doc_id", "start", "end", "items")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "documents"), "doc_id", "text").selectExpr("cast(id as bigint) as doc_id").distinct()
+
+
+def p8_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "documents"), "doc_id", "text").selectExpr("cast(id as bigint) as doc_id", "kind", "round(score, 3) as score", "units")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_embedding_neighbours": p1_embedding_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_removal_spans": p6_removal_spans}
+    return {"p1_found": p1_found, "p1_embedding_neighbours": p1_embedding_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_removal_spans": p6_removal_spans, "p8_found": p8_found, "p8_reasons": p8_reasons}
 
 
 def oracle_sql() -> dict[str, str]:
