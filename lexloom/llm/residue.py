@@ -42,7 +42,7 @@ CANDIDATE = re.compile(
 )
 TRUSTED_FORMS = {"curl", "dollar", "at", "percent", "angle2", "cross", "line"}
 #: Words that ask for a value, in the languages of the corpus (fixed values).
-ASKING = re.compile(r"(?i)^\W*(insert|enter|tbd|to be completed|fill in|bitte eintragen|einfügen|eintragen|insérer|à compléter|à remplir|saisir|请填写|此处填入|此处填写|填写|请输入|待定|待填)\b|^\W*(请填写|此处填|待定|待填|请输入)")
+ASKING = re.compile(r"(?i)^\W*(insert|enter|tbd|to be completed|fill in|bitte eintragen|einfügen|eintragen|insérer|à compléter|à remplir|saisir|请填写|此处填入|此处填写|填写|请输入|待定|待填)\b|^\W*(请填写|此处填|待定|待填|请输入)|^[●•■▲◆]+$")
 #: Filler vocabulary and phrases (fixed values).
 LATIN = frozenset("lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore aliqua veniam nostrud ullamco laboris nisi cillum fugiat mollit".split())
 FILLER_PHRASE = re.compile(
@@ -55,6 +55,8 @@ NOTICE = re.compile(
     r"|checking your browser|service (is )?(temporarily )?unavailable|bad gateway|link you followed|traceback \(most recent|please check the address|problem persists|back \| home \| search"
     r"|返回首页|刷新页面|启用 ?javascript 后|开启脚本|禁用脚本|没有权限|网关错误|检查地址|访问人数过多|系统繁忙|链接可能已失效|请求失败|检查您的浏览器|如问题持续|错误代码 ?\d"
     r"|bitte aktivieren sie|zugriff verweigert|prüfen sie die adresse|versuchen sie es|zurück zur startseite|sitzung ist abgelaufen|wurde nicht gefunden|anfrage fehlgeschlagen|benötigt skripte|vorübergehend nicht verfügbar"
+    r"|timeout after \d+|gateway time-?out|no such (page|file|document|agreement)|undefined (index|variable|offset)|too many requests|403 forbidden|document missing|page can.?t be found"
+    r"|(加载|请求|连接).{0,60}超时|解析出错|(合同|页面|文件|文档)不存在|(文件|页面)加载失败|seite existiert nicht|zeitüberschreitung nach \d+|délai dépassé|temps d'attente dépassé"
     r"|veuillez (réessayer|vérifier|activer)|page demandée n'existe|retour à l'accueil|activation des scripts|accès refusé|session a expiré|nécessite (javascript|des scripts)"
 )
 
@@ -90,7 +92,8 @@ def _slots(texts: list[str]) -> Units:
             marks += ["first " + runs[0][:2], "last " + runs[-1][-2:]] if runs else []
             at = len(owner)
             owner.append(n)
-            trusted.append(bool(runs) and '"' not in inner and ((form in TRUSTED_FORMS and not re.search(r"\d", inner)) or bool(ASKING.search(inner))))
+            named = bool(runs) and form in TRUSTED_FORMS and not re.search(r"\d", inner)
+            trusted.append('"' not in inner and (named or bool(ASKING.search(inner))))
             unit += [at] * len(marks)
             feature += [crc32(m.encode("utf-8", "surrogatepass")) & (FEATURES - 1) for m in marks]
     return Units(np.array(owner, np.int64), np.array(unit, np.int64), np.array(feature, np.int64), np.array(trusted, bool), np.zeros(len(owner), bool))
@@ -185,7 +188,7 @@ def fit(documents: DataFrame, text_col: str, *, fit_rows: int = FIT_ROWS, rounds
     model: Model = [(None, -np.inf)] * 3
     for _ in range(rounds):
         counts = texts.mapInArrow(_counting(model), "kind int, feature int, positive double, every double").groupBy("kind", "feature").agg(F.sum("positive").alias("positive"), F.sum("every").alias("every"))
-        table = counts.filter("positive > 0.01 or feature = " + str(FEATURES)).toArrow()
+        table = counts.filter("positive > 0.01 or every > 1").toArrow()
         totals = counts.filter(F.col("feature") < FEATURES).groupBy("kind").agg(F.sum("positive"), F.sum("every")).collect()
         totals = {r[0]: (r[1], r[2]) for r in totals}
         kinds, features, positive, every = (table[c].to_numpy() for c in ("kind", "feature", "positive", "every"))
@@ -200,7 +203,8 @@ def fit(documents: DataFrame, text_col: str, *, fit_rows: int = FIT_ROWS, rounds
             own &= features < FEATURES
             n_pos, n_all = totals[kind]
             background = every[own] / n_all
-            weights = np.full(FEATURES, np.log(SMOOTHING / (n_pos + SMOOTHING)), np.float32)
+            # Features of neither class say nothing.
+            weights = np.zeros(FEATURES, np.float32)
             weights[features[own]] = np.log((positive[own] + SMOOTHING * background) / (n_pos + SMOOTHING) / background)
             model.append((weights, float(np.log(found / max(units - found, 1.0)))))
     return model
