@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import confusables, leakage, near_duplicates, residue, similar_vectors, splitting
-from lexloom.sources.tables import table
+from lexloom.llm import confusables, leakage, mixing, near_duplicates, residue, similar_vectors, splitting
+from lexloom.sources.tables import normal_source, table
+
+#: Vocabulary and split pattern of the public tokenizer that sizes are counted in.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +84,22 @@ def p6_removal_spans(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.removal_spans(_leaks(spark, folder)).selectExpr("cast(id as bigint) as doc_id", "start", "end", "items")
 
 
+def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    from public_tokenizers import PATTERN
+
+    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), normal_source(F.col("source")).alias("source"), "text")
+    targets = table(spark, folder, "source_target").select(normal_source(F.col("source")).alias("source"), F.col("target_weight").alias("weight"), "max_repeats")
+    return mixing.mixture(mixing.with_tokens(documents, "text", VOCABULARY, PATTERN), targets)
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder)[0].withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder)[1]
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue(table(spark, folder, "documents"), "doc_id", "text").selectExpr("cast(id as bigint) as doc_id").distinct()
 
@@ -90,7 +109,7 @@ def p8_reasons(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_embedding_neighbours": p1_embedding_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_removal_spans": p6_removal_spans, "p8_found": p8_found, "p8_reasons": p8_reasons}
+    return {"p1_found": p1_found, "p1_embedding_neighbours": p1_embedding_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_removal_spans": p6_removal_spans, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_reasons": p8_reasons}
 
 
 def oracle_sql() -> dict[str, str]:
