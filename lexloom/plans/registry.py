@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import intervals
+from lexloom.plans import intervals, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (intervals,)
+MODULES = (intervals, text)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
