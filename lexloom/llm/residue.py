@@ -40,25 +40,44 @@ CANDIDATE = re.compile(
     r"|(?P<line>[_＿]{2,}[ ]?[（(][^（）()\n]{1,80}[）)])|(?P<paren>（[^（）\n]{1,80}）)|(?P<at>@@[^@\n]{1,80}@@)|(?P<percent>%[^\W\d]\w{2,60}%)"
     r"|(?P<cross>××[^×\n]{1,80}××)|(?P<hash>#{1,2}[^\W\d]\w{2,60}#{1,2})|(?P<blank>[_＿]{3,}|\.{5,}|…{3,})"
 )
+#: Characters a candidate can begin with; dots are rare enough to be asked for first.
+OPENER = re.compile(r"[{$\[<【《_＿（@%×#…]")
 TRUSTED_FORMS = {"curl", "dollar", "at", "percent", "angle2", "cross", "line"}
 #: Words that ask for a value, in the languages of the corpus (fixed values).
 ASKING = re.compile(r"(?i)^\W*(insert|enter|tbd|to be completed|fill in|bitte eintragen|einfügen|eintragen|insérer|à compléter|à remplir|saisir|请填写|此处填入|此处填写|填写|请输入|待定|待填)\b|^\W*(请填写|此处填|待定|待填|请输入)|^[●•■▲◆]+$")
 #: Filler vocabulary and phrases (fixed values).
 LATIN = frozenset("lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore aliqua veniam nostrud ullamco laboris nisi cillum fugiat mollit".split())
-FILLER_PHRASE = re.compile(
-    r"(?i)示例文字示例|这里是内容这里|文本文本文本|请在此输入|此处填写正文|样本文字|待补充|(asdf\W+){2}|(qwer\W+){2}|(\btext\W+){3}|your text (goes )?here|sample (clause|text|wording)|placeholder (text|clause|wording)"
-    r"|blindtext|mustertext|platzhaltertext|texte (factice|d'exemple|à remplacer)|to be drafted|replace before use"
-)
-#: What error pages and script notices say to their reader (fixed values).
-NOTICE = re.compile(
-    r"(?i)enable (javascript|scripts|cookies)|turn on scripts|requires? javascript|javascript is disabled|not found on this server|http error \d|return to the home ?page|try again later|reload to retry|session has expired"
-    r"|checking your browser|service (is )?(temporarily )?unavailable|bad gateway|link you followed|traceback \(most recent|please check the address|problem persists|back \| home \| search"
-    r"|返回首页|刷新页面|启用 ?javascript 后|开启脚本|禁用脚本|没有权限|网关错误|检查地址|访问人数过多|系统繁忙|链接可能已失效|请求失败|检查您的浏览器|如问题持续|错误代码 ?\d"
-    r"|bitte aktivieren sie|zugriff verweigert|prüfen sie die adresse|versuchen sie es|zurück zur startseite|sitzung ist abgelaufen|wurde nicht gefunden|anfrage fehlgeschlagen|benötigt skripte|vorübergehend nicht verfügbar"
-    r"|timeout after \d+|gateway time-?out|no such (page|file|document|agreement)|undefined (index|variable|offset)|too many requests|403 forbidden|document missing|page can.?t be found"
-    r"|(加载|请求|连接).{0,60}超时|解析出错|(合同|页面|文件|文档)不存在|(文件|页面)加载失败|seite existiert nicht|zeitüberschreitung nach \d+|délai dépassé|temps d'attente dépassé"
-    r"|veuillez (réessayer|vérifier|activer)|page demandée n'existe|retour à l'accueil|activation des scripts|accès refusé|session a expiré|nécessite (javascript|des scripts)"
-)
+FILLER_PHRASES = (
+    "示例文字示例", "这里是内容这里", "文本文本文本", "请在此输入", "此处填写正文", "样本文字", "待补充", "asdf asdf", "qwer qwer", "text text text", "your text here", "your text goes here",
+    "sample clause", "sample text", "sample wording", "placeholder text", "placeholder clause", "placeholder wording", "blindtext", "mustertext", "platzhaltertext", "texte factice", "texte d'exemple",
+    "texte à remplacer", "to be drafted", "replace before use",
+)
+#: What error pages and script notices say to their reader (fixed values), and patterns each with a phrase it can't do without.
+NOTICE_PHRASES = (
+    "enable javascript", "enable scripts", "enable cookies", "turn on scripts", "requires javascript", "require javascript", "javascript is disabled", "not found on this server", "return to the home page",
+    "return to the homepage", "try again later", "reload to retry", "session has expired", "checking your browser", "service unavailable", "service is unavailable", "temporarily unavailable", "bad gateway",
+    "link you followed", "traceback (most recent", "please check the address", "problem persists", "back | home | search", "gateway timeout", "gateway time-out", "no such page", "no such file",
+    "no such document", "no such agreement", "undefined index", "undefined variable", "undefined offset", "too many requests", "403 forbidden", "document missing", "page can't be found",
+    "返回首页", "刷新页面", "启用javascript 后", "启用 javascript 后", "开启脚本", "禁用脚本", "没有权限", "网关错误", "检查地址", "访问人数过多", "系统繁忙", "链接可能已失效", "请求失败", "检查您的浏览器", "如问题持续",
+    "解析出错", "合同不存在", "页面不存在", "文件不存在", "文档不存在", "文件加载失败", "页面加载失败",
+    "bitte aktivieren sie", "zugriff verweigert", "prüfen sie die adresse", "versuchen sie es", "zurück zur startseite", "sitzung ist abgelaufen", "wurde nicht gefunden", "anfrage fehlgeschlagen",
+    "benötigt skripte", "vorübergehend nicht verfügbar", "seite existiert nicht",
+    "veuillez réessayer", "veuillez vérifier", "veuillez activer", "page demandée n'existe", "retour à l'accueil", "activation des scripts", "accès refusé", "session a expiré", "nécessite javascript",
+    "nécessite des scripts", "délai dépassé", "temps d'attente dépassé",
+)
+NOTICE_PATTERNS = tuple((part, re.compile(pattern)) for part, pattern in (
+    ("http error ", "http error \\d"), ("错误代码", "错误代码 ?\\d"), ("timeout after ", "timeout after \\d+"), ("zeitüberschreitung nach ", "zeitüberschreitung nach \\d+"), ("超时", "(加载|请求|连接).{0,60}超时"),
+))
+
+
+def _notices(lower: str) -> bool:
+    """Whether a lower-cased text addresses its reader like an error page."""
+    return any(p in lower for p in NOTICE_PHRASES) or any(part in lower and pattern.search(lower) for part, pattern in NOTICE_PATTERNS)
+
+
+def _filler_characters(lower: str) -> int:
+    """Characters of a lower-cased text that filler phrases cover."""
+    return sum(len(p) * lower.count(p) for p in FILLER_PHRASES)
 
 
 @dataclass
@@ -78,10 +97,22 @@ class Units:
         return np.bincount(self.unit, weights[self.feature], minlength=len(self.owner)) + prior
 
 
+def _candidates(text: str) -> Iterator[re.Match]:
+    """The matches of ``CANDIDATE``, tried only where one can begin."""
+    if "....." in text:
+        yield from CANDIDATE.finditer(text)
+        return
+    end = 0
+    for opener in OPENER.finditer(text):
+        if opener.start() >= end and (match := CANDIDATE.match(text, opener.start())):
+            end = match.end()
+            yield match
+
+
 def _slots(texts: list[str]) -> Units:
     owner, unit, feature, trusted = [], [], [], []
     for n, text in enumerate(texts):
-        for match in CANDIDATE.finditer(text):
+        for match in _candidates(text):
             form, whole = match.lastgroup, match.group()
             inner = whole.strip("{}$[]<>【】《》_＿ （）()@%×#.…")
             lower = inner.lower()
@@ -133,14 +164,14 @@ def _passages(texts: list[str]) -> tuple[Units, Units]:
     first = cut[passage[new]] if len(owner) else np.empty(0, np.int64)
     last = cut[np.minimum(passage[new] + 1, len(cut) - 1)] if len(owner) else first
     trusted = np.zeros(len(owner), bool)
-    likely = {i for i, t in enumerate(lowered) if FILLER_PHRASE.search(t) or not LATIN.isdisjoint(t.split())}
+    likely = {i for i, t in enumerate(lowered) if "lorem" in t or any(p in t for p in FILLER_PHRASES) or not LATIN.isdisjoint(t.split())}
     for n in np.flatnonzero(np.isin(owner, list(likely))) if likely else ():
         text = joined[first[n] : last[n]]
         words = re.findall(r"[^\W\d_]+", text)
-        said = sum(len(m.group()) for m in FILLER_PHRASE.finditer(text))
-        trusted[n] = (len(words) >= 4 and 2 * sum(w in LATIN for w in words) >= len(words)) or 3 * said >= len(text.strip())
+        said = _filler_characters(text)
+        trusted[n] = (len(words) >= 4 and 2 * sum(w in LATIN for w in words) >= len(words)) or (said > 0 and 3 * said >= len(text.strip()))
     fillers = Units(owner, np.r_[unit, unit[pair]], feature, trusted, np.zeros(len(owner), bool))
-    notices = np.fromiter((len(t) <= SHORT and bool(NOTICE.search(t)) for t in texts), bool, len(texts))
+    notices = np.fromiter((len(t) <= SHORT and _notices(t) for t in lowered), bool, len(texts))
     errors = Units(np.arange(len(texts)), np.r_[record, record[pair]], feature, notices, np.fromiter((len(t) > SHORT for t in texts), bool, len(texts)))
     return fillers, errors
 
