@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import intervals, text
+from lexloom.plans import intervals, search, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (intervals, text)
+MODULES = (intervals, text, search)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return intervals.QUERIES["p3_found"](spark, folder)
+    return search.hybrid_rrf(spark, folder)
 
 
 def queries() -> dict[str, Query]:
