@@ -8,8 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.session import written
+
 #: Documents are cut into blocks of BLOCK characters, each followed by the next REACH characters again.
 BLOCK, REACH = 8192, 2048
+#: A block that more spans ask for is copied, so that no task meets more than about so many of them.
+CROWD = 100_000
 
 
 def text_blocks(documents: DataFrame) -> DataFrame:
@@ -39,10 +43,19 @@ def slices(spans: DataFrame, documents: DataFrame) -> DataFrame:
     at = F.col("lo") - F.col("block") * BLOCK
     kept = ("kind", "id", "doc", "lo", "hi", "text")
     near = spans.filter(F.col("end") - F.col("lo") <= REACH).withColumn("block", F.floor(F.col("lo") / BLOCK).cast("int"))
-    near = near.join(blocks, ["doc", "block"]).select(*kept, F.substring("body", at + 1, F.col("end") - F.col("lo")).alias("slice"))
     far = spans.filter(F.col("end") - F.col("lo") > REACH)
     far = far.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK).cast("int"), F.floor((F.col("end") - 1) / BLOCK).cast("int"))))
+
+    # Crowded blocks are few, at most one per CROWD spans, and written, so that the planner knows how small they are.
+    asked = near.select("doc", "block").unionAll(far.select("doc", "block")).groupBy("doc", "block").agg(F.count("*").alias("n"))
+    crowded = written(asked.filter(F.col("n") > CROWD).select("doc", "block", F.ceil(F.col("n") / CROWD).cast("int").alias("copies")))
+    if crowded.isEmpty():
+        met = lambda some: some.join(blocks, ["doc", "block"])
+    else:
+        copied = blocks.join(crowded, ["doc", "block"], "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+        met = lambda some: some.join(crowded, ["doc", "block"], "left").withColumn("copy", F.pmod(F.xxhash64("id"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies").join(copied, ["doc", "block", "copy"])
+    near = met(near).select(*kept, F.substring("body", at + 1, F.col("end") - F.col("lo")).alias("slice"))
     begin, end = F.greatest(at, F.lit(0)), F.least(F.col("end") - F.col("block") * BLOCK, F.lit(BLOCK))
-    far = far.join(blocks, ["doc", "block"]).select(*kept, F.struct("block", F.substring("body", begin + 1, end - begin).alias("part")).alias("part"))
+    far = met(far).select(*kept, F.struct("block", F.substring("body", begin + 1, end - begin).alias("part")).alias("part"))
     far = far.groupBy("kind", "id", "doc", "lo", "hi").agg(F.first("text").alias("text"), F.array_sort(F.collect_set("part")).alias("parts"))
     return near.unionByName(far.select(*kept, F.array_join(F.col("parts.part"), "").alias("slice"))).filter("slice != ''")
