@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.operators.slices import slices
+
 #: A prototype, and letters of other scripts that look like it.
 LOOKALIKES = {
     "A": "ΑАᎪ", "B": "ΒВ", "C": "СϹ", "E": "ΕЕ", "H": "ΗН", "I": "ΙІӀ", "J": "ЈͿ", "K": "ΚКK", "M": "ΜМ", "N": "Ν", "O": "ΟОՕ",
@@ -97,47 +99,8 @@ def lookalike_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed.select("id", "group_id").distinct().join(mixed, "group_id").select("id", "group_id")
 
 
-#: Documents are cut into blocks of BLOCK characters, each followed by the next REACH characters again.
-BLOCK, REACH = 8192, 2048
-
-
-def _blocks(documents: DataFrame) -> DataFrame:
-    """``(doc, block, body)`` of ``(doc, text)``; equal repeated deliveries are merged."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
-                cuts = range(0, len(text), BLOCK)
-                bodies = [text[lo : lo + BLOCK + REACH] for lo in cuts]
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(cuts), pa.string()), pa.array(range(len(cuts)), pa.int32()), pa.array(bodies, pa.string())], names=["doc", "block", "body"])
-
-    cut = documents.filter("doc is not null and text is not null").select("doc", "text").mapInArrow(run, "doc string, block int, body string")
-    return cut.groupBy("doc", "block").agg(F.first("body").alias("body"))
-
-
-def slices(spans: DataFrame, documents: DataFrame) -> DataFrame:
-    """``spans`` (``kind, id, doc, lo, hi, text``) plus ``slice``: the characters ``[lo, hi)`` of the document.
-
-    ``documents`` has ``doc`` and ``text``. Only spans with 0 <= lo < hi that begin within their document come out; an end
-    beyond it is cut off. Texts meet spans block by block, so neither a huge document nor one that holds most
-    spans is gathered in one task.
-    """
-    blocks = _blocks(documents)
-    longest = documents.agg(F.max(F.length("text"))).first()[0] or 0
-    spans = spans.filter("kind is not null and id is not null and lo >= 0 and lo < hi").withColumn("hi", F.least("hi", F.lit(longest)))
-    at = F.col("lo") - F.col("block") * BLOCK
-    near = spans.filter(F.col("hi") - F.col("lo") <= REACH).withColumn("block", F.floor(F.col("lo") / BLOCK).cast("int"))
-    near = near.join(blocks, ["doc", "block"]).select("kind", "id", "text", F.substring("body", at + 1, F.col("hi") - F.col("lo")).alias("slice"))
-    far = spans.filter(F.col("hi") - F.col("lo") > REACH)
-    far = far.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK).cast("int"), F.floor((F.col("hi") - 1) / BLOCK).cast("int"))))
-    begin, end = F.greatest(at, F.lit(0)), F.least(F.col("hi") - F.col("block") * BLOCK, F.lit(BLOCK))
-    far = far.join(blocks, ["doc", "block"]).select("kind", "id", "text", "lo", "hi", "doc", F.struct("block", F.substring("body", begin + 1, end - begin).alias("part")).alias("part"))
-    far = far.groupBy("kind", "id", "doc", "lo", "hi").agg(F.first("text").alias("text"), F.array_sort(F.collect_set("part")).alias("parts"))
-    return near.unionByName(far.select("kind", "id", "text", F.array_join(F.col("parts.part"), "").alias("slice"))).filter("slice != ''")
-
-
 def lookalike_slices(spans: DataFrame, documents: DataFrame) -> DataFrame:
-    """``(kind, id)`` of the records whose ``text`` is not the stored slice but has its skeleton; see :func:`slices`.
+    """``(kind, id)`` of the records whose ``text`` is not the stored slice but has its skeleton; see :func:`lexloom.operators.slices.slices`.
 
     Records with a null text, or equal to their slice, are none. Repeated rows count once; empty tables give no rows.
     """
