@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import evidence, intervals, search, text
+from lexloom.plans import evidence, intervals, search, storage, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (intervals, text, search, evidence)
+MODULES = (intervals, text, search, evidence, storage)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as tx
+from lexloom.operators.blocks import lines
 from lexloom.plans import common
 from lexloom.plans.common import BLANK, SQL_C, SQL_P
 from lexloom.sources.tables import table
@@ -50,14 +51,6 @@ def chunk_keys(spark: SparkSession, folder: str) -> DataFrame:
     return common.chunks(spark, folder).select("id", doc.alias("doc_id"), index.alias("chunk_index"))
 
 
-def lines(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, line_no, start_offset, end_offset, line)`` of every line, without the last empty one."""
-    body = F.regexp_replace(F.col(text), "\\n$", "")
-    rows = documents.filter(F.length(text) > 0).select(key, F.posexplode(F.split(body, "\\n", -1)).alias("line_no", "line"))
-    end = F.sum(F.length("line") + 1).over(W.partitionBy(key).orderBy("line_no")) - 1
-    return rows.select(key, "line_no", (end - F.length("line")).alias("start_offset"), end.alias("end_offset"), "line")
-
-
 def line_offsets(spark: SparkSession, folder: str) -> DataFrame:
     return lines(common.documents(spark, folder, "full_text"), "doc_id", "full_text").drop("line")
 
