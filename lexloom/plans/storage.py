@@ -224,3 +224,6 @@ ORACLE["parsed_blocks"] = f"""WITH {SQL_P}, parts AS (SELECT doc_id, string_spli
 numbered AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM parts), cut AS (SELECT doc_id, k, regexp_replace(line, '^[{BLANK}]+|[{BLANK}]+$', '', 'g') AS t FROM numbered),
 b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS block_no, t, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS e FROM cut WHERE t <> ''), l AS (SELECT *, {LEVEL} AS level FROM b)
 SELECT doc_id, CAST(block_no AS INT) AS block_no, CASE WHEN level IS NULL THEN 'content' ELSE 'heading' END AS kind, level, CAST(e - length(t) AS BIGINT) AS start_offset, CAST(e AS BIGINT) AS end_offset FROM l"""
+ORACLE["assembled_texts"] = f"""WITH {SQL_P}, parts AS (SELECT doc_id, string_split(regexp_replace(full_text, '\\n$', ''), chr(10)) AS ls FROM p WHERE length(full_text) > 0),
+kept AS (SELECT doc_id, list_filter(list_transform(ls, lambda x: regexp_replace(x, '^[{BLANK}]+|[{BLANK}]+$', '', 'g')), lambda x: x <> '') AS ts FROM parts), j AS (SELECT doc_id, array_to_string(ts, chr(10)) AS t FROM kept WHERE len(ts) > 0)
+SELECT doc_id, length(t) AS size, md5(t) AS digest FROM j"""
