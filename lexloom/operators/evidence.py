@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as tx
 from lexloom.operators.retrieval import pages_for_spans
 from lexloom.operators.slices import slices
+from lexloom.session import written
 
 #: A section of at most so many estimated tokens becomes evidence as a whole.
 SECTION_TOKENS = 3000
@@ -48,6 +49,8 @@ def materialize(candidates: DataFrame, chunks: DataFrame, documents: DataFrame)
         F.bool_or(~F.coalesce(valid, F.lit(False))).alias("invalid"), F.min("section_path").alias("section_path"), F.max("section_path").alias("other_path"), F.coalesce(F.bool_or("gap"), F.lit(False)).alias("hole"),
         F.min("lo").alias("union_lo"), F.max_by("hi", F.struct("lo", "hi")).alias("union_hi"),
     )
+    # Written, as are the rows below, because several branches read them.
+    facts = written(facts)
 
     # Every section with its span, chunks in order and size in tokens; the token counts come from its chunks' blocks of text.
     sections = spans.filter(F.size("section_path") > 0).groupBy("doc_id", "section_path").agg(
@@ -69,6 +72,7 @@ def materialize(candidates: DataFrame, chunks: DataFrame, documents: DataFrame)
         "key", reason.alias("reason"), "doc_id", "section_path", "note", F.when(whole, F.col("sec_lo")).otherwise(F.col("union_lo")).alias("start_offset"),
         F.when(whole, F.col("sec_hi")).otherwise(F.col("union_hi")).alias("end_offset"), F.when(whole, F.col("sec_ids")).otherwise(F.col("ids")).alias("chunk_ids"),
     )
+    rows = written(rows)
     good = rows.filter("reason is null")
     text = slices(good.select(F.lit("evidence").alias("kind"), F.col("key").alias("id"), F.col("doc_id").alias("doc"), F.col("start_offset").alias("lo"), F.col("end_offset").alias("hi"), F.lit(None).cast("string").alias("text")), texts)
     filled = text.filter(F.trim(F.regexp_replace("slice", f"[{tx.BLANK}]+", "")) != "").select(F.col("id").alias("key"), F.lit(True).alias("filled"))
@@ -99,7 +103,7 @@ def verify(evidence: DataFrame, chunks: DataFrame, documents: DataFrame) -> Data
         .when(~((F.col("s") >= 0) & (F.col("s") <= F.col("e")) & (F.col("e") <= F.col("size"))), "offsets-out-of-range")
         .when(~(F.coalesce("exact", F.lit(False)) | ((F.col("s") == F.col("e")) & (F.col("quote") == ""))), "quote-mismatch")
     )
-    rows = rows.withColumn("before", before)
+    rows = written(rows.withColumn("before", before).drop("quote"))
 
     named = rows.filter("before is null").select("evidence_id", "doc_id", "path", "s", "e", "size", F.posexplode("source_chunk_ids").alias("pos", "id"))
     lookup = _spans(chunks).join(chunks.select("id", F.col("text")), "id")
@@ -113,6 +117,7 @@ def verify(evidence: DataFrame, chunks: DataFrame, documents: DataFrame) -> Data
         .when(~F.coalesce((F.col("lo") >= 0) & (F.col("lo") < F.col("hi")) & (F.col("hi") <= F.col("size")), F.lit(False)), "invalid-chunk-span").when(F.col("right").isNull(), "chunk-text-mismatch")
     )
     named = named.withColumn("fails", fails).withColumn("c_lo", F.greatest("lo", "s")).withColumn("c_hi", F.least("hi", "e"))
+    named = written(named.drop("path", "chunk_path", "chunk_doc", "right"))
     first = named.filter("fails is not null").groupBy("evidence_id").agg(F.min_by("fails", "pos").alias("chunk_reason"))
 
     clipped = named.filter("fails is null and c_lo < c_hi")

@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexloom.session import written
+
 #: Width of the value blocks that share the ranking of one entity among tasks.
 BLOCK = 4096
 
 
 def running_totals(df: DataFrame, key: str, value: str, amount: str, block: int = BLOCK) -> DataFrame:
-    """``df`` plus ``before``: the sum of ``amount`` over rows of the same key with a smaller ``value``.
+    """``df`` plus ``before``, the sum of ``amount`` over rows of the same key with a smaller ``value``, and ``total``, that of all its rows.
 
     ``value`` must be a whole number, unique per key. Rows of one key are ranked in blocks of
     ``block`` values, so no task ever sorts more than ``block`` rows of a key at once; only the
@@ -25,7 +27,7 @@ def running_totals(df: DataFrame, key: str, value: str, amount: str, block: int
     blocked = df.withColumn("_block", F.floor(F.col(value) / block))
     totals = blocked.groupBy(key, "_block").agg(F.sum(amount).alias("_total"))
     earlier = W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(key, "_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+    offsets = totals.select(key, "_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"), F.sum("_total").over(W.partitionBy(key)).alias("total"))
     inside = W.partitionBy(key, "_block").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     ranked = blocked.withColumn("before", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
     return ranked.join(offsets, [key, "_block"]).withColumn("before", F.col("before") + F.col("_offset")).drop("_block", "_offset")
@@ -50,16 +52,16 @@ def periods_and_gaps(df: DataFrame, entity: str | Column, start: str | Column, e
     starts = running_totals(spans.groupBy("entity", F.col("start").alias("at")).agg(F.count("*").alias("n")), "entity", "at", "n", block)
     starts = starts.select("entity", F.col("before").alias("rank"), F.col("at").alias("next_start"))
     ends = running_totals(spans.groupBy("entity", F.col("end").alias("at")).agg(F.count("*").alias("n")), "entity", "at", "n", block)
-    ends = ends.select("entity", (F.col("before") + F.col("n")).alias("rank"), F.col("at").alias("last_end"))
+    ends = ends.select("entity", (F.col("before") + F.col("n")).alias("rank"), F.col("at").alias("last_end"), "total")
 
     # The start of rank r + 1 beside the end of rank r. A side is missing before the first period, after the last,
     # and where equal bounds hide a rank; the latter is no edge, as the neighbour in rank lies across it.
-    sizes = ends.groupBy("entity").agg(F.max("rank").alias("size"))
-    edges = starts.join(ends, ["entity", "rank"], "full_outer").join(sizes, "entity")
+    edges = starts.join(ends, ["entity", "rank"], "full_outer")
     opens = F.col("next_start").isNotNull() & ((F.col("rank") == 0) | (F.col("next_start") > F.col("last_end")))
-    closes = F.col("last_end").isNotNull() & ((F.col("rank") == F.col("size")) | (F.col("next_start") > F.col("last_end")))
+    closes = F.col("last_end").isNotNull() & ((F.col("rank") == F.col("total")) | (F.col("next_start") > F.col("last_end")))
     edges = edges.select("entity", "rank", F.when(opens, F.col("next_start")).alias("opening"), F.when(closes, F.col("last_end")).alias("closing"))
-    edges = edges.filter(F.col("opening").isNotNull() | F.col("closing").isNotNull())
+    # Written, as three branches read it.
+    edges = written(edges.filter(F.col("opening").isNotNull() | F.col("closing").isNotNull()))
 
     # Pair the n-th opening with the n-th closing; a row that has both is the gap between two periods.
     numbered = running_totals(edges.withColumn("one", F.when(F.col("opening").isNotNull(), 1).otherwise(0)), "entity", "rank", "one", block)

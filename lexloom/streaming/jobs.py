@@ -53,7 +53,7 @@ def register_spans(spark: SparkSession, path: str, schema: StructType, out: str,
 
 def windowed_counts(spark: SparkSession, path: str, schema: StructType, out: str, checkpoint: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """``(start, event_type, events, total)`` per window, late rows included; a window updated by a later batch is replaced."""
-    rows = _read(spark, path, schema).withWatermark("ts", late)
+    rows = _read(spark, path, schema).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     counts = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total"))
     counts = counts.select(F.col("w.start").alias("start"), "event_type", "events", "total")
 
