@@ -26,10 +26,15 @@ from lexloom.session import written
 FIT_ROWS = 20_000
 ROUNDS = 4
 FEATURES = 1 << 20
-#: Weight of the background distribution in a class, in feature counts.
-SMOOTHING = 20.0
+#: Weight of the background distribution in the positive class, and the count that a feature gets in the negative one in any case.
+SMOOTHING = 10.0
+LEAST_COUNT = 0.5
+#: Prior log odds are at most this, so that without evidence nothing is excluded, however many units are trusted.
+MOST_PRIOR = -2.0
 SLOT, FILLER, ERROR = range(3)
 NAMES = ("slot", "filler", "error")
+#: Chance of an unlabelled unit before the first round: marked expressions are open, passages and documents are taken as clean.
+START = (0.5, 0.0, 0.0)
 #: Texts no longer than this may be trusted error pages; longer ones are taken as agreements while the models are fitted.
 SHORT = 600
 
@@ -117,14 +122,18 @@ def _slots(texts: list[str]) -> Units:
             inner = whole.strip("{}$[]<>【】《》_＿ （）()@%×#.…")
             lower = inner.lower()
             runs = re.findall(r"[^\W\d_]+", lower)
+            # No word names no value (a line to sign on, an ellipsis); quoted keys are data.
+            if '"' in inner or not (runs or ASKING.search(inner)):
+                continue
             marks = ["form " + form, "asks" if ASKING.search(inner) else "tells", "digit" if re.search(r"\d", inner) else "plain", "quote" if re.search(r"[\"'“”:]", inner) else "bare", "words " + str(min(len(runs), 5)), "length " + str(min(len(inner) // 8, 6))]
             marks += ["upper"] * (inner.isupper() and inner.isascii()) + ["snake"] * ("_" in inner) + ["empty"] * (not runs)
             marks += ["word " + w for w in runs] + ["whole " + " ".join(runs)]
+            marks += ["before " + text[max(0, match.start() - 2) : match.start()].lower(), "after " + text[match.end() : match.end() + 2].lower()]
             marks += ["first " + runs[0][:2], "last " + runs[-1][-2:]] if runs else []
             at = len(owner)
             owner.append(n)
             named = bool(runs) and form in TRUSTED_FORMS and not re.search(r"\d", inner)
-            trusted.append('"' not in inner and (named or bool(ASKING.search(inner))))
+            trusted.append(named or bool(ASKING.search(inner)))
             unit += [at] * len(marks)
             feature += [crc32(m.encode("utf-8", "surrogatepass")) & (FEATURES - 1) for m in marks]
     return Units(np.array(owner, np.int64), np.array(unit, np.int64), np.array(feature, np.int64), np.array(trusted, bool), np.zeros(len(owner), bool))
@@ -189,7 +198,7 @@ def _counting(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kind, units in enumerate(_units(batch.column("text").to_pylist())):
-                chance = 1 / (1 + np.exp(-np.clip(units.score(*model[kind]), -50, 50))) if model[kind][0] is not None else np.zeros(len(units.owner))
+                chance = 1 / (1 + np.exp(-np.clip(units.score(*model[kind]), -50, 50))) if model[kind][0] is not None else np.full(len(units.owner), START[kind])
                 chance[units.negative] = 0
                 chance[units.trusted] = 1
                 every = np.bincount(units.feature, minlength=FEATURES)
@@ -236,8 +245,9 @@ def fit(documents: DataFrame, text_col: str, *, fit_rows: int = FIT_ROWS, rounds
             background = every[own] / n_all
             # Features of neither class say nothing.
             weights = np.zeros(FEATURES, np.float32)
-            weights[features[own]] = np.log((positive[own] + SMOOTHING * background) / (n_pos + SMOOTHING) / background)
-            model.append((weights, float(np.log(found / max(units - found, 1.0)))))
+            against = every[own] - positive[own] + LEAST_COUNT
+            weights[features[own]] = np.log((positive[own] + SMOOTHING * background) / (n_pos + SMOOTHING)) - np.log(against / (n_all - n_pos + LEAST_COUNT * own.sum()))
+            model.append((weights, min(float(np.log(found / max(units - found, 1.0))), MOST_PRIOR)))
     return model
 
 

@@ -129,6 +129,7 @@ def most_similar(
     share of the rows neither skew a partition nor push apart what lies on either side of them. Ties
     go to the smaller id (string order). An empty table gives no rows. Other columns are ignored.
     """
+    proj_dims = min(proj_dims, dim)
     base = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).filter(F.col("id").isNotNull() & (F.size("vec") == dim))
     key = (F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2"))
     keyed = base.select(*key, "id", "vec")
