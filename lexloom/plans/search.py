@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.operators import retrieval
 from lexloom.plans import common
 from lexloom.plans.common import SQL_C, SQL_E, SQL_P
-from lexloom.sources.tables import table
+from lexloom.sources.tables import once, table
 
 SESSION = "ws-shared-review"
 
@@ -39,7 +39,8 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vector_scoped(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.vectors(_query_vectors(spark, folder), retrieval.scoped(_chunks(spark, folder), SESSION))
+    rows = retrieval.scoped(table(spark, folder, "chunks"), SESSION).select("id", "chunk_index", "embedding")
+    return retrieval.vectors(_query_vectors(spark, folder), once(rows, "id"))
 
 
 def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +74,9 @@ def grep_regex(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def list_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return common.documents(spark, folder, "title", "source_format", "session_id").filter(F.col("session_id") == SESSION).select("doc_id", "title", "source_format")
+    # The filter comes before the deduplication, so that it reaches the scan.
+    rows = table(spark, folder, "parsed_document").filter(F.col("session_id") == SESSION)
+    return once(rows.select("doc_id", "title", "source_format"), "doc_id")
 
 
 def list_sessions(spark: SparkSession, folder: str) -> DataFrame:
