@@ -21,7 +21,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_embedding_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    near = similar_vectors.most_similar(table(spark, folder, "embeddings"), "vec_id", "embedding", k=5)
+    near = similar_vectors.nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", k=5)
     return near.selectExpr("cast(id as bigint) as vec_id", "cast(neighbour as bigint) as neighbour", "round(sim, 6) as sim", "rank")
 
 

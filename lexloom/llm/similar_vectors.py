@@ -4,6 +4,7 @@ Each curve projects the vectors on a few random orthogonal directions, shifts th
 and orders them by their place on a Hilbert curve. Spark range-partitions every ordering by splits
 taken from a bounded sample; within a partition each tile of the ordering is compared with itself and its two
 neighbours, and the best of all curves are merged. Work is linear in the number of vectors.
+Spread-out vectors have no such order that keeps their neighbours together; :func:`nearest` compares all of them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -130,10 +131,7 @@ def most_similar(
     go to the smaller id (string order). An empty table gives no rows. Other columns are ignored.
     """
     proj_dims = min(proj_dims, dim)
-    base = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).filter(F.col("id").isNotNull() & (F.size("vec") == dim))
-    key = (F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2"))
-    keyed = base.select(*key, "id", "vec")
-    classes = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("vec").alias("vec"))
+    base, keyed, classes = _classes(df, id_col, vec_col, dim)
 
     n = base.count()
     parts = max(1, -(-n // part_rows))
@@ -182,13 +180,87 @@ def most_similar(
 
     coded = classes.select("h1", "rep", "vec").mapInArrow(encode, "curve int, part int, key long, rep string, vec binary")
     near = coded.groupBy("curve", "part").applyInArrow(compare, "a string, b string, sim double")
+    return _with_copies(near, keyed, classes, k)
+
+
+def nearest(df: DataFrame, id_col: str = "id", vec_col: str = "embedding", *, dim: int = 64, k: int = 5, block_rows: int = 32_768) -> DataFrame:
+    """As :func:`most_similar` without ``min_sim``, but exact: every vector is compared with every other.
+
+    Vectors are hashed into blocks and each pair of blocks is one group, so memory is bounded by two blocks; work is quadratic in the
+    number of different vectors, and each is shuffled once per block.
+    """
+    base, keyed, classes = _classes(df, id_col, vec_col, dim)
+    n = base.count()
+    # Small tables are cut finer, so that there are groups for all cores.
+    blocks = max(1, -(-n // block_rows), min(8, n // 2048))
+    block, other = F.col("block"), F.col("other")
+    rows = classes.filter(_usable()).select(F.pmod("h1", F.lit(blocks)).cast("int").alias("block"), "rep", "vec").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(F.least(block, other).alias("x"), F.greatest(block, other).alias("y"), "block", "rep", "vec")
+
+    def compare(group: pa.Table) -> pa.Table:
+        # By id, so that of equal similarities the smaller id comes first.
+        group = group.take(pa.array(np.argsort(group["rep"].to_numpy(zero_copy_only=False), kind="stable")))
+        ids, at, unit = group["rep"].to_numpy(zero_copy_only=False), group["block"].to_numpy(), _unit(_matrix(group["vec"], dim))[1]
+        x, y = group["x"][0].as_py(), group["y"][0].as_py()
+        found = []
+        for one, two in {(x, y), (y, x)}:
+            own, beside = np.flatnonzero(at == one), np.flatnonzero(at == two)
+            r, c, sim = _closest(unit[own], unit[beside], k, x == y)
+            found.append(pa.table({"a": pa.array(ids[own][r], pa.string()), "b": pa.array(ids[beside][c], pa.string()), "sim": pa.array(sim, pa.float64())}))
+        return pa.concat_tables(found)
+
+    near = rows.groupBy("x", "y").applyInArrow(compare, "a string, b string, sim double")
+    return _with_copies(near, keyed, classes, k)
+
+
+def _closest(own: np.ndarray, other: np.ndarray, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and similarities of the ``k`` best of ``other`` for each of ``own``, the first of equal ones; if ``same``, none is its own."""
+    small, across = own.astype(np.float32), other.astype(np.float32)
+    found = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+    for lo in range(0, len(own), 512):
+        hi = min(lo + 512, len(own))
+        bound = np.full(hi - lo, -9.0)
+        r, c, sim = found[0]
+        for left in range(0, len(other), 4096):
+            sims = small[lo:hi] @ across[left : left + 4096].T
+            if same:
+                own_at = np.arange(max(lo, left), min(hi, left + sims.shape[1]))
+                sims[own_at - lo, own_at - left] = -9
+            if left == 0 and sims.shape[1] > k:
+                bound = np.partition(sims, -k, axis=1)[:, -k].astype(np.float64)
+            # Single precision errs by less than this; the similarities of what is left are exact.
+            more_r, more_c = np.nonzero((sims >= (bound - 1e-5).astype(np.float32)[:, None]) & (sims > -2))
+            parts = [np.einsum("ij,ij->i", own[more_r[i : i + 65_536] + lo], other[more_c[i : i + 65_536] + left]) for i in range(0, len(more_r), 65_536)]
+            r, c, sim = np.r_[r, more_r], np.r_[c, more_c + left], np.concatenate([sim, *parts])
+            order = np.lexsort((c, -sim, r))
+            r, c, sim = r[order], c[order], sim[order]
+            rank = np.arange(len(r)) - np.searchsorted(r, r)
+            r, c, sim, rank = r[rank < k], c[rank < k], sim[rank < k], rank[rank < k]
+            bound[r[rank == k - 1]] = sim[rank == k - 1]
+        found.append((r + lo, c, sim))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _classes(df: DataFrame, id_col: str, vec_col: str, dim: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with an id and a vector of the right length, the same with the hashes of the vector, and a row for each different vector."""
+    base = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).filter(F.col("id").isNotNull() & (F.size("vec") == dim))
+    key = (F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2"))
+    keyed = base.select(*key, "id", "vec")
+    return base, keyed, keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("vec").alias("vec"))
+
+
+def _usable() -> Column:
+    return F.exists("vec", lambda x: x != 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+
+def _with_copies(near: DataFrame, keyed: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """Pairs of classes as ``(id, neighbour, sim, rank)`` of all ids."""
     best = W.partitionBy("a").orderBy(F.desc("sim"), "b")
     near = near.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank")
 
     # Copies: the smallest k + 1 ids of each class with several, found first within salted parts of it.
     shared = classes.filter(F.col("rep") != F.col("last")).select("h1", "h2", "rep", "vec")
-    usable = F.exists("vec", lambda x: x != 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    shared = shared.filter(usable).drop("vec")
+    shared = shared.filter(_usable()).drop("vec")
     members = keyed.select("h1", "h2", "id").join(shared, ["h1", "h2"]).select("rep", "id").distinct()
     salted = W.partitionBy("rep", F.pmod(F.hash("id"), F.lit(64))).orderBy("id")
     few = members.withColumn("n", F.row_number().over(salted)).filter(F.col("n") <= k + 1)

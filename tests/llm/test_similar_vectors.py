@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from lexloom.llm.similar_vectors import hilbert_keys, most_similar, similar_pairs
+from lexloom.llm.similar_vectors import hilbert_keys, most_similar, nearest, similar_pairs
 
 SCHEMA = "id string, embedding array<float>, a string, b string, key int, curve int"
 
@@ -58,3 +58,35 @@ def test_unusable_rows_copies_and_repeats(spark):
     assert [n for _, n in sorted(by["near"])] == copies[:3] and all(len(x) == 3 for x in by.values())
     assert most_similar(frame(spark, []), dim=4).count() == 0
     assert most_similar(frame(spark, bad), dim=4).count() == 0
+
+
+def test_nearest_of_spread_out_vectors_is_whole(spark, tmp_path):
+    from lexloom.llm.queries import p1_embedding_neighbours
+
+    v = np.random.default_rng(5).standard_normal((4500, 64)).astype(np.float32)
+    v[7] = 2 * v[6]
+    rows = [(i, row.tolist()) for i, row in enumerate(v)] + [(9000, v[3].tolist()), (9001, None), (9002, [0.0] * 64)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = np.r_[v, v[3:4]].astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    ids = np.r_[np.arange(len(v)), 9000]
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    want = {(ids[i], ids[j]) for i, best in enumerate(np.argsort(-sims, axis=1, kind="stable")[:, :5]) for j in best}
+    found = p1_embedding_neighbours(spark, str(tmp_path)).collect()
+    assert {(r["vec_id"], r["neighbour"]) for r in found} == want and len(found) == len(want)
+    table = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    cut = nearest(table, "vec_id", block_rows=700).collect()
+    assert {(int(r["id"]), int(r["neighbour"])) for r in cut} == want
+
+
+def test_nearest_of_unusable_rows_copies_and_ties(spark):
+    base = [1.0, 0.0, 0.0, 0.0]
+    rows = [(f"copy{i}", base) for i in range(9)] + [(f"tie{i}", [0.0, float(i + 1), 0.0, 0.0]) for i in range(6)]
+    bad = [(None, base), ("null", None), ("zero", [0.0] * 4), ("short", [1.0]), ("nan", [float("nan"), 1.0, 1.0, 1.0]), ("hole", [None, 1.0, 1.0, 1.0])]
+    by = {}
+    for r in nearest(frame(spark, rows + bad), dim=4, k=3, block_rows=4).orderBy("rank").collect():
+        by.setdefault(r["id"], []).append(r["neighbour"])
+    assert by == {i: [x for x in sorted(j for j, _ in rows) if x != i and x[:3] == i[:3]][:3] for i, _ in rows}
+    assert nearest(frame(spark, []), dim=4).count() == 0 and nearest(frame(spark, bad), dim=4).count() == 0
+    assert len(nearest(frame(spark, rows[-2:]), dim=4).collect()) == 2
