@@ -118,7 +118,7 @@ def span_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sections(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunk spans as gold."""
+    """Every third chunk's span as gold, as the SQL has it; :func:`_cited` leaves no chunk out by its number."""
     lo, hi = common.span()
     return common.chunks(spark, folder, "doc_id", "charspan", "chunk_index").filter(F.col("chunk_index") % 3 == 0).select(F.col("doc_id").alias("entity"), lo.alias("start"), hi.alias("end")).filter("start < end")
 
@@ -132,6 +132,22 @@ def evidence_hit_rate(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.hit_rate(_verified(spark, folder, False), _sections(spark, folder))
 
 
+def _cited(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of all chunks that verified evidence names, as gold."""
+    lo, hi = common.span()
+    named = common.evidence(spark, folder, "source_chunk_ids", "verified").filter("verified").select(F.explode("source_chunk_ids").alias("id")).distinct()
+    return common.chunks(spark, folder, "doc_id", "charspan").join(named, "id").select(F.col("doc_id").alias("entity"), lo.alias("start"), hi.alias("end")).filter("start < end")
+
+
+def span_scores_cited(spark: SparkSession, folder: str) -> DataFrame:
+    """Verified evidence against every chunk that verified evidence names."""
+    return metrics.span_scores(_verified(spark, folder, True), _cited(spark, folder))
+
+
+def evidence_hit_rate_cited(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.hit_rate(_verified(spark, folder, False), _cited(spark, folder))
+
+
 def ranking_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of a question by their best score, against those with verified evidence."""
     rows = common.evidence(spark, folder, "question_id", "document_id", "retrieval_score", "verified").filter("question_id is not null and document_id is not null")
@@ -174,7 +190,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         materialize, materialize_summary, verify_reasons, register_spans, citation_audit, worker_summary, tool_result_dedup, conflict_pairs, effective_new_evidence, report_markdown, evidence_snippets, span_overlap, span_scores,
-        evidence_hit_rate, ranking_scores, f1_per_class, classification_summary, macro_accuracy, document_quota,
+        evidence_hit_rate, span_scores_cited, evidence_hit_rate_cited, ranking_scores, f1_per_class, classification_summary, macro_accuracy, document_quota,
     )
 }
 
@@ -251,6 +267,8 @@ x AS (SELECT (SELECT coalesce(sum(t - s), 0) FROM bu) AS r, (SELECT coalesce(sum
 SELECT CAST(r AS BIGINT) AS retrieved, CAST(g AS BIGINT) AS gold, CAST(o AS BIGINT) AS overlap, round(p, 6) AS precision, round(q, 6) AS recall, round(coalesce(2 * p * q / nullif(p + q, 0), 0), 6) AS f1 FROM y"""
 ORACLE["evidence_hit_rate"] = f"""WITH {SQL_C}, {SQL_E}, {GOLD}, x AS (SELECT evidence_id, EXISTS (SELECT 1 FROM g WHERE d = document_id AND s < end_offset AND start_offset < t) AS hit FROM e WHERE document_id IS NOT NULL AND start_offset < end_offset)
 SELECT count(*) FILTER (hit) AS hits, count(*) AS returned, round(coalesce(count(*) FILTER (hit) / nullif(count(*), 0), 0), 6) AS rate FROM x"""
+CITED = "g AS (SELECT DISTINCT doc_id AS d, charspan[1] AS s, charspan[2] AS t FROM c WHERE id IN (SELECT unnest(source_chunk_ids) FROM e WHERE verified) AND charspan[1] < charspan[2])"
+ORACLE |= {f"{name}_cited": ORACLE[name].replace(GOLD, CITED) for name in ("span_scores", "evidence_hit_rate")}
 ORACLE["ranking_scores"] = (
     f"""WITH {SQL_E}, r AS (SELECT question_id AS query, document_id AS document, verified, row_number() OVER (PARTITION BY question_id ORDER BY retrieval_score DESC NULLS LAST, evidence_id) AS rank FROM e WHERE question_id IS NOT NULL AND document_id IS NOT NULL),
 b AS (SELECT query, document, min(rank) AS rank, bool_or(coalesce(verified, false)) AS gold FROM r GROUP BY query, document) SELECT query, """

@@ -55,3 +55,14 @@ def test_largest_remainder_golden_cases(spark):
     assert split([220.0, 968.0, 903.0], 150) == [16, 69, 65]
     assert split([220.0, 968.0, 903.0], 15) == [2, 7, 6]
     assert split([1.0, 1.0, 1.0], 2) == [1, 1, 0]
+
+
+def test_gold_of_cited_chunks_is_whole(spark, tmp_path):
+    from lexloom.plans.evidence import QUERIES
+
+    at = "timestamp'2024-01-01'"
+    spark.sql(f"select concat('c', id) id, 'd' doc_id, cast(id as int) chunk_index, array(cast(10 * id as int), cast(10 * id + 10 as int)) charspan, {at} ingested_at from range(6)").write.parquet(f"{tmp_path}/chunks.parquet")
+    rows = "('e1', array('c1', 'c2'), 10, 30, true), ('e2', array('c5'), 50, 55, true), ('e3', array('c0', 'c3'), 0, 10, false), ('e4', array('c4'), 25, 35, cast(null as boolean))"
+    spark.sql(f"select *, 'd' document_id, {at} ingested_at from values {rows} as t(evidence_id, source_chunk_ids, start_offset, end_offset, verified)").write.parquet(f"{tmp_path}/evidence.parquet")
+    assert [tuple(r) for r in QUERIES["span_scores_cited"](spark, str(tmp_path)).collect()] == [(25, 30, 25, 1.0, 0.833333, 0.909091)]
+    assert [tuple(r) for r in QUERIES["evidence_hit_rate_cited"](spark, str(tmp_path)).collect()] == [(3, 4, 0.75)]
