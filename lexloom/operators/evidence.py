@@ -161,3 +161,25 @@ def audit_citations(cited: DataFrame, store: DataFrame) -> DataFrame:
     used = cited.filter("evidence_id is not null").select("report", "evidence_id").distinct().join(store.select("evidence_id", F.coalesce("verified", F.lit(False)).alias("ok"), F.lit(1).alias("there")), "evidence_id", "left")
     counts = used.groupBy("report").agg(F.count("*").alias("total"), F.count("there").alias("existing"), F.count(F.when(F.col("ok"), 1)).alias("matched"))
     return counts.select("report", "total", "existing", (F.col("total") - F.col("existing")).alias("missing"), "matched", F.round(F.col("matched") / F.col("total"), 6).alias("rate"))
+
+
+def conflicting_pairs(evidence: DataFrame, width: int = 4096) -> DataFrame:
+    """``(question_id, id_a, id_b)``: all overlapping evidence of a question and document with different verdicts, each unordered pair once.
+
+    Equal spans of one verdict are one class. Classes meet in blocks of ``width`` characters and count in the block where their overlap begins;
+    only pairs that conflict are expanded to their members.
+    """
+    rows = evidence.filter("question_id is not null and document_id is not null and start_offset < end_offset")
+    # A null verdict differs from both others.
+    rows = rows.select("question_id", "document_id", "evidence_id", F.col("start_offset").alias("s"), F.col("end_offset").alias("e"), F.coalesce(F.col("verified").cast("int"), F.lit(-1)).alias("v"))
+    place = ["question_id", "document_id"]
+    side = lambda df, n: df.select(*place, *[F.col(c).alias(f"{c}_{n}") for c in df.columns if c not in place])
+    classes = rows.select(*place, "s", "e", "v").distinct()
+    blocks = F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width)))
+    cut = classes.withColumn("block", blocks)
+    a, b = side(cut, "a").withColumnRenamed("block_a", "block"), side(cut, "b").withColumnRenamed("block_b", "block")
+    met = a.join(b, [*place, "block"]).filter((F.col("v_a") < F.col("v_b")) & (F.col("s_a") < F.col("e_b")) & (F.col("s_b") < F.col("e_a")))
+    met = met.filter(F.col("block") == F.floor(F.greatest("s_a", "s_b") / width)).drop("block")
+    for n in "ab":
+        met = met.join(side(rows, n), [*place, f"s_{n}", f"e_{n}", f"v_{n}"])
+    return met.select("question_id", F.least("evidence_id_a", "evidence_id_b").alias("id_a"), F.greatest("evidence_id_a", "evidence_id_b").alias("id_b"))

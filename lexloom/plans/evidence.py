@@ -81,6 +81,11 @@ def conflict_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("question_id", F.least("evidence_id", "p_evidence_id").alias("id_a"), F.greatest("evidence_id", "p_evidence_id").alias("id_b")).distinct()
 
 
+def conflict_pairs_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All overlapping evidence of a question with different verdicts; :func:`conflict_pairs` and its SQL see neighbours only."""
+    return ev.conflicting_pairs(common.evidence(spark, folder, "question_id", "document_id", "start_offset", "end_offset", "verified"))
+
+
 def effective_new_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """Per question, the documents of each day beside those of the day before: is anything gone from the gaps?"""
     rows = common.evidence(spark, folder, "question_id", "document_id", "created_at").filter("question_id is not null and document_id is not null")
@@ -189,7 +194,7 @@ def document_quota(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        materialize, materialize_summary, verify_reasons, register_spans, citation_audit, worker_summary, tool_result_dedup, conflict_pairs, effective_new_evidence, report_markdown, evidence_snippets, span_overlap, span_scores,
+        materialize, materialize_summary, verify_reasons, register_spans, citation_audit, worker_summary, tool_result_dedup, conflict_pairs, conflict_pairs_all, effective_new_evidence, report_markdown, evidence_snippets, span_overlap, span_scores,
         evidence_hit_rate, span_scores_cited, evidence_hit_rate_cited, ranking_scores, f1_per_class, classification_summary, macro_accuracy, document_quota,
     )
 }
@@ -241,6 +246,9 @@ SELECT question_id, count(*) AS reads, count(*) FILTER (again) AS stubs, CAST(co
     "conflict_pairs": f"""WITH {SQL_E}, o AS (SELECT question_id, evidence_id, start_offset, verified, lag(evidence_id) OVER w AS pe, lag(end_offset) OVER w AS pt, lag(verified) OVER w AS pv FROM e
 WHERE question_id IS NOT NULL AND document_id IS NOT NULL AND start_offset < end_offset WINDOW w AS (PARTITION BY question_id, document_id ORDER BY start_offset, end_offset, evidence_id))
 SELECT DISTINCT question_id, least(evidence_id, pe) AS id_a, greatest(evidence_id, pe) AS id_b FROM o WHERE pt > start_offset AND pv IS DISTINCT FROM verified""",
+    "conflict_pairs_all": f"""WITH {SQL_E}, o AS (SELECT * FROM e WHERE question_id IS NOT NULL AND document_id IS NOT NULL AND start_offset < end_offset)
+SELECT a.question_id, a.evidence_id AS id_a, b.evidence_id AS id_b FROM o a JOIN o b ON a.question_id = b.question_id AND a.document_id = b.document_id AND a.evidence_id < b.evidence_id
+AND a.start_offset < b.end_offset AND b.start_offset < a.end_offset AND a.verified IS DISTINCT FROM b.verified""",
     "effective_new_evidence": f"""WITH {SQL_E}, d AS (SELECT question_id, CAST(created_at AT TIME ZONE 'UTC' AS DATE) AS day, list_distinct(array_agg(document_id)) AS g FROM e WHERE question_id IS NOT NULL AND document_id IS NOT NULL GROUP BY 1, 2),
 l AS (SELECT *, lag(g) OVER (PARTITION BY question_id ORDER BY day) AS b FROM d) SELECT question_id, count(*) FILTER (b IS NULL OR len(list_filter(b, lambda x: NOT list_contains(g, x))) > 0) AS effective, count(*) AS rounds FROM l GROUP BY question_id""",
     "report_markdown": f"""WITH {SQL_E}, l AS (SELECT question_id, evidence_id, '- [' || evidence_id || '] ' || coalesce(document_name, '') || ' ' || coalesce(section_path[-1], '') || ': ' || left(coalesce(quote, ''), 200) AS line FROM e WHERE question_id IS NOT NULL)

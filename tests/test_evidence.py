@@ -74,3 +74,15 @@ def test_slices_of_crowded_and_long_spans(spark, monkeypatch):
         monkeypatch.setattr(module, "CROWD", crowd)
         got = slices(rows, documents).collect()
         assert {r["id"]: r["slice"] for r in got} == want and len(got) == len(want)
+
+
+def test_conflicting_pairs_are_whole(spark):
+    spans = [("q", "d", 0, 20_000, True), ("q", "d", 10, 20, True), ("q", "d", 9000, 9500, False), ("q", "d", 9000, 9500, None), ("q", "d", 4095, 4097, False), ("q", "d", 20_000, 20_001, False), ("q", "e", 0, 9, False), ("r", "d", 0, 9, False), ("q", "d", 7, 7, False), (None, "d", 0, 9, False)]
+    spans += [("q", "f", 5, 6, i % 2 == 0) for i in range(5)]
+    spans = [(f"x{i:02d}", *x) for i, x in enumerate(spans)]
+    want = {(q, i, j) for i, q, d, s, e, v in spans for j, q2, d2, s2, e2, v2 in spans if q and i < j and (q, d) == (q2, d2) and s < e and s2 < e2 and s < e2 and s2 < e and v is not v2}
+    rows = spark.createDataFrame(spans, "evidence_id string, question_id string, document_id string, start_offset int, end_offset int, verified boolean")
+    for width in (4096, 100):
+        got = [tuple(r) for r in ev.conflicting_pairs(rows, width).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert {("q", "x00", "x02"), ("q", "x00", "x03"), ("q", "x00", "x04")} < want and len(want) == 10
