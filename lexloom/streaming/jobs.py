@@ -18,21 +18,35 @@ def _finish(writer, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def ingest(spark: SparkSession, path: str, schema: StructType, key: str, out: str, checkpoint: str) -> DataFrame:
-    """Rows of new files whose key isn't stored yet, appended to ``out``; a key delivered again, now or later, changes nothing.
+def _stored(spark: SparkSession, schema: StructType | str, out: str, *numbers: int) -> DataFrame:
+    """Rows of all batches in ``out``, or of those numbered."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    return rows.parquet(*[f"{out}/batch={n}" for n in numbers] or [out])
+
+
+def _append_new(rows: DataFrame, keys: list[str], out: str, checkpoint: str) -> None:
+    """The rows whose keys no earlier batch has stored, however late they come.
 
     Every batch goes to a folder of its own, so a batch that is run again after a failure replaces itself.
     """
 
     def take(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates([key])
+        new = batch.dropDuplicates(keys)
         if number:
-            known = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(*[f"{out}/batch={n}" for n in range(number)])
-            new = new.join(known.select(key), key, "left_anti").select(*batch.columns)
+            known = _stored(batch.sparkSession, batch.select(keys).schema, out, *range(number))
+            # The stored keys may be null, as those that arrive.
+            known = known.select([F.col(k).alias(f"_{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+            new = new.join(known, same, "left_anti")
         new.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    _finish(_read(spark, path, schema).writeStream.foreachBatch(take), checkpoint)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
+    _finish(rows.writeStream.foreachBatch(take), checkpoint)
+
+
+def ingest(spark: SparkSession, path: str, schema: StructType, key: str, out: str, checkpoint: str) -> DataFrame:
+    """Rows of new files whose key isn't stored yet, appended to ``out``; a key delivered again, now or later, changes nothing."""
+    _append_new(_read(spark, path, schema), [key], out, checkpoint)
+    return _stored(spark, schema, out)
 
 
 def backfill_tokens(spark: SparkSession, path: str, schema: StructType, out: str, checkpoint: str) -> DataFrame:
@@ -43,23 +57,22 @@ def backfill_tokens(spark: SparkSession, path: str, schema: StructType, out: str
     return spark.read.schema("id string, search_tokens string").parquet(out)
 
 
-def register_spans(spark: SparkSession, path: str, schema: StructType, out: str, checkpoint: str, late: str = "365 days") -> DataFrame:
-    """Distinct evidence spans, the first of each key; the keys are the state of the stream and leave it ``late`` after their time."""
+def register_spans(spark: SparkSession, path: str, schema: StructType, out: str, checkpoint: str) -> DataFrame:
+    """Distinct evidence spans, each once, whenever it comes again."""
+    span = ["document_id", "start_offset", "end_offset"]
     rows = _read(spark, path, schema).filter("document_id is not null and start_offset is not null and end_offset is not null")
-    rows = rows.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["document_id", "start_offset", "end_offset"]).select("document_id", "start_offset", "end_offset")
-    _finish(rows.writeStream.format("parquet").option("path", out), checkpoint)
-    return spark.read.schema("document_id string, start_offset int, end_offset int").parquet(out)
+    _append_new(rows.select(span), span, out, checkpoint)
+    return _stored(spark, "document_id string, start_offset int, end_offset int", out)
 
 
-def windowed_counts(spark: SparkSession, path: str, schema: StructType, out: str, checkpoint: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """``(start, event_type, events, total)`` per window, late rows included; a window updated by a later batch is replaced."""
-    rows = _read(spark, path, schema).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    counts = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total"))
-    counts = counts.select(F.col("w.start").alias("start"), "event_type", "events", "total")
+def windowed_counts(spark: SparkSession, path: str, schema: StructType, out: str, checkpoint: str, width: str = "1 hour") -> DataFrame:
+    """``(start, event_type, events, total)`` per window, late rows included: each batch stores its share of every window, and shares add up."""
+    rows = _read(spark, path, schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
     def take(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/n={number}")
+        counts = batch.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total"))
+        counts.select(F.col("w.start").alias("start"), "event_type", "events", "total").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    _finish(counts.writeStream.outputMode("update").foreachBatch(take), checkpoint)
-    every = spark.read.schema("start timestamp, event_type string, events long, total double, batch int").option("recursiveFileLookup", "true").parquet(out)
-    return every.groupBy("start", "event_type").agg(F.max_by("events", "batch").alias("events"), F.max_by("total", "batch").alias("total"))
+    _finish(rows.writeStream.foreachBatch(take), checkpoint)
+    every = _stored(spark, "start timestamp, event_type string, events long, total double", out)
+    return every.groupBy("start", "event_type").agg(F.sum("events").alias("events"), F.sum("total").alias("total"))

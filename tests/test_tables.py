@@ -89,3 +89,25 @@ def test_incremental_ingest(spark, tmp_path):
     spark.createDataFrame([("b", 2), ("c", 2)], "k string, v int").write.mode("append").parquet(folder)
     for _ in range(2):
         assert sorted(map(tuple, jobs.ingest(spark, folder, first.schema, "k", out, mark).collect())) == [("a", 1), ("b", 1), ("c", 2)]
+
+
+def test_streams_keep_rows_of_any_lateness(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    # The newest row comes first: what follows lies years behind it.
+    day = [datetime(2024, 6, 1) - timedelta(days=d) for d in (0, 1600, 2, 1600)]
+
+    def delivered(job, name, rows, schema):
+        folder, out, mark = (f"{tmp_path}/{name}{x}" for x in ("", "-out", "-mark"))
+        for row in rows:
+            frame = spark.createDataFrame([row], schema)
+            frame.coalesce(1).write.mode("append").parquet(folder)
+            got = job(spark, folder, frame.schema, out, mark)
+        return sorted(map(tuple, got.collect()))
+
+    chunks = [(i, "fee", d) for i, d in zip(("a", "b", "a", "b"), day)]
+    assert delivered(jobs.backfill_tokens, "chunks", chunks, "id string, text string, ingested_at timestamp") == [("a", "fee"), ("b", "fee")]
+    spans = [("d", n, 9, d) for n, d in zip((1, 2, 1, 2), day)]
+    assert delivered(jobs.register_spans, "spans", spans, "document_id string, start_offset int, end_offset int, created_at timestamp") == [("d", 1, 9), ("d", 2, 9)]
+    events = [(d, "x", 1.5) for d in day]
+    assert delivered(jobs.windowed_counts, "events", events, "ts timestamp, event_type string, value double") == [(day[1], "x", 2, 3.0), (day[2], "x", 1, 1.5), (day[0], "x", 1, 1.5)]
