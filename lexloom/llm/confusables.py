@@ -1,7 +1,8 @@
 """One consistent form of visually identical texts: the confusables skeleton.
 
 A text is decomposed, every character is replaced by its prototype, and the result is decomposed
-again. Texts with equal skeletons look the same to a reader.
+again. Texts with equal skeletons look the same to a reader. Prototypes come from the public table of confusables, of which the ICU library that
+Spark ships holds a copy; the driver reads it once and broadcasts it.
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ from collections.abc import Iterator
 from hashlib import md5
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.operators.slices import slices
 
-#: A prototype, and letters of other scripts that look like it.
+#: A prototype, and characters that look like it to a reader of contracts, whether or not the public table joins them.
 LOOKALIKES = {
     "A": "ΑАᎪ", "B": "ΒВ", "C": "СϹ", "E": "ΕЕ", "H": "ΗН", "I": "ΙІӀ", "J": "ЈͿ", "K": "ΚКK", "M": "ΜМ", "N": "Ν", "O": "ΟОՕ",
     "P": "ΡР", "Q": "Ԛ", "S": "ЅՏ", "T": "ΤТ", "U": "Ս", "V": "Ѵ", "W": "Ԝ", "X": "ΧХ", "Y": "ΥҮ", "Z": "Ζ",
@@ -29,12 +30,39 @@ LOOKALIKES = {
 KEEPING = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>"}
 #: Letters without a picture that are not in the format category (fixed values).
 FILLERS = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
-PROTOTYPE = {ord(c): p for p, group in LOOKALIKES.items() for c in group}
+PROTOTYPE = {ord(c): p for p, group in LOOKALIKES.items() for c in group if c != p}
+#: The public table joins these ASCII characters with others of ASCII. They stay apart here, since another letter case or another digit is
+#: another text; what looks like them goes to the one of its own kind: prototype, then for capitals, digits, other letters and other marks.
+JOINED = {"l": "I1l|", "O": "O0OO", "rn": "mmmm", "''": '""""', "º/₀": "%%%%"}
 
 
-class _Prototypes(dict):
+def public_lookalikes(spark: SparkSession) -> dict[int, str]:
+    """Prototype of every character beyond ASCII that the public table of confusables gives another form."""
+    global _PUBLIC
+    if _PUBLIC is None:
+        # Han characters, too; syllables of Hangul are decomposed before the table is used.
+        points = [c for c in range(0x80, 0x30000) if not (0xAC00 <= c < 0xD7A4 or unicodedata.category(chr(c)) in ("Cn", "Cs", "Co", "Cc"))]
+        checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+        forms = checker.getSkeleton("\n".join(map(chr, points))).split("\n")
+        _PUBLIC = {c: f for c, f in zip(points, forms) if f != unicodedata.normalize("NFD", chr(c))}
+    return _PUBLIC
+
+
+_PUBLIC: dict[int, str] | None = None
+
+
+class Prototypes(dict):
     """Translation table that works out a character when it first occurs."""
 
+    def __init__(self, public: dict[int, str]):
+        super().__init__()
+        self.public = public
+        # Where a fixed prototype differs from the public one, all characters of the public one follow.
+        self.renamed = {public[c]: p for c, p in PROTOTYPE.items() if c in public and public[c] != p and not public[c].isascii()}
+
+    def __reduce__(self):
+        return Prototypes, (self.public,)
+
     def __missing__(self, point: int) -> str:
         char = chr(point)
         category = unicodedata.category(char)
@@ -47,22 +75,32 @@ class _Prototypes(dict):
         elif category == "Pd" or point in (0x2212, 0x2043):
             form = "-"
         elif point in PROTOTYPE:
-            form = PROTOTYPE[point]
+            form = "".join(self[ord(c)] for c in PROTOTYPE[point])
+        elif point < 0x80:
+            form = char
         else:
             tag, _, rest = unicodedata.decomposition(char).partition(" ")
-            form = "".join(self[int(h, 16)] for h in rest.split()) if tag in KEEPING else char
+            if tag in KEEPING:
+                form = "".join(self[int(h, 16)] for h in rest.split())
+            else:
+                form = self._looks(char, category)
         self[point] = form
         return form
 
-
-_TABLE = _Prototypes()
+    def _looks(self, char: str, category: str) -> str:
+        """The prototype of a character by the public table."""
+        form = self.public.get(ord(char), char)
+        if form in JOINED:
+            capital, digit, small, other = JOINED[form]
+            return capital if category == "Lu" else digit if category == "Nd" else small if category[0] == "L" else other
+        return self.renamed.get(form, form)
 
 
-def skeleton(text: str) -> str:
+def skeleton(text: str, table: Prototypes) -> str:
     """The skeleton of a text; letter case, digits and words stay as they are."""
     if text.isascii():
         return text.replace("\r\n", "\n").replace("\t", " ").replace("`", "'")
-    text = unicodedata.normalize("NFD", text.replace("\r\n", "\n")).translate(_TABLE)
+    text = unicodedata.normalize("NFD", text.replace("\r\n", "\n")).translate(table)
     return unicodedata.normalize("NFD", text)
 
 
@@ -73,13 +111,14 @@ def with_skeleton(df: DataFrame, *texts: str) -> DataFrame:
     """
     kept = [c for c in df.columns if c not in {f"{t}_skeleton" for t in texts}]
     df = df.select(*kept)
+    shared = df.sparkSession.sparkContext.broadcast(Prototypes(public_lookalikes(df.sparkSession)))
     schema = ", ".join([f"`{n}` {t}" for n, t in df.dtypes] + [f"`{t}_skeleton` string" for t in texts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = list(batch.columns)
             for name in texts:
-                made = (None if t is None else md5(skeleton(t).encode("utf-8", "surrogatepass")).hexdigest() for t in batch.column(name).to_pylist())
+                made = (None if t is None else md5(skeleton(t, shared.value).encode("utf-8", "surrogatepass")).hexdigest() for t in batch.column(name).to_pylist())
                 columns.append(pa.array(made, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *(f"{t}_skeleton" for t in texts)])
 

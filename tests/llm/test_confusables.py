@@ -1,6 +1,14 @@
+from collections import defaultdict
+
 import pytest
 
-from lexloom.llm.confusables import lookalike_groups, lookalike_slices, skeleton, with_skeleton
+from lexloom.llm.confusables import Prototypes, lookalike_groups, lookalike_slices, public_lookalikes, skeleton, with_skeleton
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    return Prototypes(public_lookalikes(spark))
+
 
 SAME = [
     ("Agreement", "Ａｇｒｅｅｍｅｎｔ"), ("Zürich", "Zürich"), ("the parties", "the par​ties"), ("soft", "so­ft"), ("office file", "oﬃce ﬁle"), ("case", "саѕе"), ("TOP", "ΤΟΡ"), ("non-stop", "non‐stop"),
@@ -10,20 +18,55 @@ OTHER = [("Agreement", "agreement"), ("2 of 3", "3 of 2"), ("shall", "shal"), ("
 
 
 @pytest.mark.parametrize("a,b", SAME)
-def test_same_look(a, b):
-    assert skeleton(a) == skeleton(b)
+def test_same_look(table, a, b):
+    assert skeleton(a, table) == skeleton(b, table)
 
 
 @pytest.mark.parametrize("a,b", OTHER)
-def test_other_look(a, b):
-    assert skeleton(a) != skeleton(b)
+def test_other_look(table, a, b):
+    assert skeleton(a, table) != skeleton(b, table)
+
+
+#: Scripts and letters that occur in none of the given tables.
+SCRIPTS = [
+    ("DEW", "ᎠᎬᎳ"), ("BOP", "ꓐꓳꓑ"), ("op", "ⲟⲣ"), ("Liability", "Ⅼiabⅰlity"), ("scope", "ѕсоре"), ("HOUSE", "ⲎՕՍЅЕ"), ("m", "ⅿ"), ("01", "𝟎𝟏"), ("fog", "ꬵоɡ"), ("Term", "𝐓𝐞𝐫𝐦"), ("x", "⨯"), ("a:b", "a꞉b"), ("二", "⼆"), ("coeur", "cœur"), ("Sheqel", "Ꮪheqeꓲ".replace("ꓲ", "l")),
+]
+
+
+@pytest.mark.parametrize("a,b", SCRIPTS)
+def test_scripts_of_no_given_table(table, a, b):
+    assert skeleton(a, table) == skeleton(b, table)
+
+
+@pytest.mark.parametrize("a,b", [("l0", "1O"), ("I", "l"), ("m", "rn"), ("é", "è"), ("己", "已"), ("Ж", "ж")])
+def test_kinds_stay_apart(table, a, b):
+    assert skeleton(a, table) != skeleton(b, table)
+
+
+def test_table_is_the_whole_public_one(spark):
+    assert len(public_lookalikes(spark)) > 5000
+
+
+def test_groups_against_brute_force(spark, table):
+    words = [x for pair in SAME + OTHER + SCRIPTS for x in pair]
+    rows = [(str(i), words[i % len(words)] + " " + words[(i * 7) % len(words)]) for i in range(400)]
+    held = defaultdict(set)
+    for i, text in rows:
+        held[skeleton(text, table)].add((i, text))
+    want = {i for group in held.values() if len({t for _, t in group}) > 1 for i, _ in group}
+    got = lookalike_groups(spark.createDataFrame(rows, "id string, text string"), "id", "text").collect()
+    assert {r["id"] for r in got} == want and len(got) == len(want)
+    by = defaultdict(set)
+    for r in got:
+        by[r["group_id"]].add(r["id"])
+    assert sorted(map(sorted, by.values())) == sorted(sorted(i for i, _ in g) for g in held.values() if len({t for _, t in g}) > 1)
 
 
-def test_skeleton_is_stable():
+def test_skeleton_is_stable(table):
     for a, b in SAME + OTHER:
         for text in (a, b):
-            assert skeleton(skeleton(text)) == skeleton(text)
-            assert skeleton(text + " Ж") == skeleton(text) + " Ж"  # the short way for plain text gives the same
+            assert skeleton(skeleton(text, table), table) == skeleton(text, table)
+            assert skeleton(text + " Ж", table) == skeleton(text, table) + " Ж"  # the short way for plain text gives the same
 
 
 def test_groups(spark):
