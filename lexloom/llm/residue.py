@@ -2,9 +2,9 @@
 
 Three kinds of units are judged, each by a model of its own: bracketed or marked expressions (is it a value slot
 left unfilled?), passages (filler instead of a clause?) and whole documents (nothing but an error
-message or script notice?). Units that a narrow pattern trusts stay positive while the
-models are fitted; all others are unlabelled. A document is excluded if any of its expressions or passages, or the sum of
-all its evidence on errors, is more likely positive than not.
+message or script notice?). A few units that hold one of a handful of seed wordings stay positive while the
+models are fitted; all others are unlabelled, taken as clean at first, and the models find the other forms and wordings through what these share with the seeds. A document is
+excluded if any of its expressions or passages, or the sum of all its evidence on errors, is more likely positive than not; the seeds themselves decide nothing.
 """
 
 from __future__ import annotations
@@ -22,78 +22,45 @@ from pyspark.sql import functions as F
 from lexloom.llm.tokens import mix, token_stream
 from lexloom.session import written
 
-#: At most about so many documents are used to fit the models; all are scored.
-FIT_ROWS = 20_000
-ROUNDS = 4
+#: The rounds end when the number of positive units of no kind changes by more than this share, after ``ROUNDS`` at the latest.
+ROUNDS, SETTLED = 8, 0.01
 FEATURES = 1 << 20
-#: Weight of the background distribution in the positive class, and the count that a feature gets in the negative one in any case.
-SMOOTHING = 10.0
-LEAST_COUNT = 0.5
+#: Every feature counts as if it had been seen so many times more, in positive and other units as often as all features are; so a rare one says little.
+PSEUDO = 5.0
 #: Prior log odds are at most this, so that without evidence nothing is excluded, however many units are trusted.
 MOST_PRIOR = -2.0
 SLOT, FILLER, ERROR = range(3)
 NAMES = ("slot", "filler", "error")
-#: Chance of an unlabelled unit before the first round: marked expressions are open, passages and documents are taken as clean.
-START = (0.5, 0.0, 0.0)
-#: Texts no longer than this may be trusted error pages; longer ones are taken as agreements while the models are fitted.
-SHORT = 600
 
-#: Expressions that could be value slots.
+#: Expressions that could be value slots, of any length within a line.
 CANDIDATE = re.compile(
-    r"(?P<curl>\{\{[^{}\n]{1,80}\}\})|(?P<dollar>\$\{[^{}\n]{1,80}\})|(?P<brace>\{[^{}\n]{1,80}\})|(?P<square>\[{1,2}[^\[\]\n]{1,80}\]{1,2})"
-    r"|(?P<angle2><<[^<>\n]{1,80}>>)|(?P<angle><[^<>\n]{1,80}>)|(?P<lens>【[^【】\n]{1,80}】)|(?P<title>《[^《》\n]{1,80}》)"
-    r"|(?P<line>[_＿]{2,}[ ]?[（(][^（）()\n]{1,80}[）)])|(?P<paren>（[^（）\n]{1,80}）)|(?P<at>@@[^@\n]{1,80}@@)|(?P<percent>%[^\W\d]\w{2,60}%)"
-    r"|(?P<cross>××[^×\n]{1,80}××)|(?P<hash>#{1,2}[^\W\d]\w{2,60}#{1,2})|(?P<blank>[_＿]{3,}|\.{5,}|…{3,})"
+    r"(?P<curl>\{\{[^{}\n]+\}\})|(?P<dollar>\$\{[^{}\n]+\})|(?P<brace>\{[^{}\n]+\})|(?P<square>\[{1,2}[^\[\]\n]+\]{1,2})"
+    r"|(?P<angle2><<[^<>\n]+>>)|(?P<angle><[^<>\n]+>)|(?P<lens>【[^【】\n]+】)|(?P<title>《[^《》\n]+》)"
+    r"|(?P<line>[_＿]{2,}[ ]?[（(][^（）()\n]+[）)])|(?P<paren>（[^（）\n]+）)|(?P<at>@@[^@\n]+@@)|(?P<percent>%[^\W\d]\w+%)"
+    r"|(?P<cross>××[^×\n]+××)|(?P<hash>#{1,2}[^\W\d]\w+#{1,2})|(?P<blank>[_＿]{3,}|\.{5,}|…{3,})"
 )
 #: Characters a candidate can begin with; dots are rare enough to be asked for first.
 OPENER = re.compile(r"[{$\[<【《_＿（@%×#…]")
-TRUSTED_FORMS = {"curl", "dollar", "at", "percent", "angle2", "cross", "line"}
-#: Words that ask for a value, in the languages of the corpus (fixed values).
-ASKING = re.compile(r"(?i)^\W*(insert|enter|tbd|to be completed|fill in|bitte eintragen|einfügen|eintragen|insérer|à compléter|à remplir|saisir|请填写|此处填入|此处填写|填写|请输入|待定|待填)\b|^\W*(请填写|此处填|待定|待填|请输入)|^[●•■▲◆]+$")
-#: Filler vocabulary and phrases (fixed values).
-LATIN = frozenset("lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore aliqua veniam nostrud ullamco laboris nisi cillum fugiat mollit".split())
-FILLER_PHRASES = (
-    "示例文字示例", "这里是内容这里", "文本文本文本", "请在此输入", "此处填写正文", "样本文字", "待补充", "asdf asdf", "qwer qwer", "text text text", "your text here", "your text goes here",
-    "sample clause", "sample text", "sample wording", "placeholder text", "placeholder clause", "placeholder wording", "blindtext", "mustertext", "platzhaltertext", "texte factice", "texte d'exemple",
-    "texte à remplacer", "to be drafted", "replace before use",
+#: Seeds (fixed values): forms of slots, how a slot asks for its value, filler, and what error pages say. Those of filler and errors count
+#: where they make up ``SEED_SHARE`` of the passage or document, so an agreement that talks about such things is no seed.
+SEED_FORMS = {"curl", "dollar"}
+SEED_ASKING = re.compile(r"(?i)^\W*(insert\b|请填写|此处填)")
+SEED_FILLER = ("lorem", "ipsum", "dolor", "amet", "consectetur", "adipiscing", "elit", "placeholder", "sample text", "sample clause", "your text", "text text", "asdf", "示例文字", "样本文字", "此处填写正文")
+SEED_ERROR = (
+    "404 not found", "page not found", "access denied", "enable javascript", "requires javascript", "service unavailable", "internal server error", "页面不存在", "访问被拒绝", "请启用 javascript", "系统繁忙",
+    "zugriff verweigert", "angeforderte seite", "aktivieren sie javascript", "accès refusé", "page demandée", "activer javascript",
 )
-#: What error pages and script notices say to their reader (fixed values), and patterns each with a phrase it can't do without.
-NOTICE_PHRASES = (
-    "enable javascript", "enable scripts", "enable cookies", "turn on scripts", "requires javascript", "require javascript", "javascript is disabled", "not found on this server", "return to the home page",
-    "return to the homepage", "try again later", "reload to retry", "session has expired", "checking your browser", "service unavailable", "service is unavailable", "temporarily unavailable", "bad gateway",
-    "link you followed", "traceback (most recent", "please check the address", "problem persists", "back | home | search", "gateway timeout", "gateway time-out", "no such page", "no such file",
-    "no such document", "no such agreement", "undefined index", "undefined variable", "undefined offset", "too many requests", "403 forbidden", "document missing", "page can't be found",
-    "返回首页", "刷新页面", "启用javascript 后", "启用 javascript 后", "开启脚本", "禁用脚本", "没有权限", "网关错误", "检查地址", "访问人数过多", "系统繁忙", "链接可能已失效", "请求失败", "检查您的浏览器", "如问题持续",
-    "解析出错", "合同不存在", "页面不存在", "文件不存在", "文档不存在", "文件加载失败", "页面加载失败",
-    "bitte aktivieren sie", "zugriff verweigert", "prüfen sie die adresse", "versuchen sie es", "zurück zur startseite", "sitzung ist abgelaufen", "wurde nicht gefunden", "anfrage fehlgeschlagen",
-    "benötigt skripte", "vorübergehend nicht verfügbar", "seite existiert nicht",
-    "veuillez réessayer", "veuillez vérifier", "veuillez activer", "page demandée n'existe", "retour à l'accueil", "activation des scripts", "accès refusé", "session a expiré", "nécessite javascript",
-    "nécessite des scripts", "délai dépassé", "temps d'attente dépassé",
-)
-NOTICE_PATTERNS = tuple((part, re.compile(pattern)) for part, pattern in (
-    ("http error ", "http error \\d"), ("错误代码", "错误代码 ?\\d"), ("timeout after ", "timeout after \\d+"), ("zeitüberschreitung nach ", "zeitüberschreitung nach \\d+"), ("超时", "(加载|请求|连接).{0,60}超时"),
-))
-
-
-def _notices(lower: str) -> bool:
-    """Whether a lower-cased text addresses its reader like an error page."""
-    return any(p in lower for p in NOTICE_PHRASES) or any(part in lower and pattern.search(lower) for part, pattern in NOTICE_PATTERNS)
-
-
-def _filler_characters(lower: str) -> int:
-    """Characters of a lower-cased text that filler phrases cover."""
-    return sum(len(p) * lower.count(p) for p in FILLER_PHRASES)
+SEED_SHARE = {SEED_FILLER: 1 / 4, SEED_ERROR: 1 / 5}
 
 
 @dataclass
 class Units:
-    """The units of one kind in a batch of texts: their documents, features, and which are trusted or known negatives."""
+    """The units of one kind in a batch of texts: their documents, features, and which are seeds."""
 
     owner: np.ndarray
     unit: np.ndarray
     feature: np.ndarray
     trusted: np.ndarray
-    negative: np.ndarray
 
     def score(self, weights: np.ndarray | None, prior: float) -> np.ndarray:
         """Log odds of being positive, without what is known of a unit."""
@@ -114,29 +81,25 @@ def _candidates(text: str) -> Iterator[re.Match]:
             yield match
 
 
-def _slots(texts: list[str]) -> Units:
-    owner, unit, feature, trusted = [], [], [], []
-    for n, text in enumerate(texts):
-        for match in _candidates(text):
-            form, whole = match.lastgroup, match.group()
-            inner = whole.strip("{}$[]<>【】《》_＿ （）()@%×#.…")
-            lower = inner.lower()
-            runs = re.findall(r"[^\W\d_]+", lower)
-            # No word names no value (a line to sign on, an ellipsis); quoted keys are data.
-            if '"' in inner or not (runs or ASKING.search(inner)):
-                continue
-            marks = ["form " + form, "asks" if ASKING.search(inner) else "tells", "digit" if re.search(r"\d", inner) else "plain", "quote" if re.search(r"[\"'“”:]", inner) else "bare", "words " + str(min(len(runs), 5)), "length " + str(min(len(inner) // 8, 6))]
-            marks += ["upper"] * (inner.isupper() and inner.isascii()) + ["snake"] * ("_" in inner) + ["empty"] * (not runs)
-            marks += ["word " + w for w in runs] + ["whole " + " ".join(runs)]
-            marks += ["before " + text[max(0, match.start() - 2) : match.start()].lower(), "after " + text[match.end() : match.end() + 2].lower()]
-            marks += ["first " + runs[0][:2], "last " + runs[-1][-2:]] if runs else []
-            at = len(owner)
-            owner.append(n)
-            named = bool(runs) and form in TRUSTED_FORMS and not re.search(r"\d", inner)
-            trusted.append(named or bool(ASKING.search(inner)))
-            unit += [at] * len(marks)
-            feature += [crc32(m.encode("utf-8", "surrogatepass")) & (FEATURES - 1) for m in marks]
-    return Units(np.array(owner, np.int64), np.array(unit, np.int64), np.array(feature, np.int64), np.array(trusted, bool), np.zeros(len(owner), bool))
+def _slots(text: str) -> Iterator[tuple[list[str], bool]]:
+    """Marks of every candidate of a text, and whether it is a seed."""
+    for match in _candidates(text):
+        form, whole = match.lastgroup, match.group()
+        inner = whole.strip("{}$[]<>【】《》_＿ （）()@%×#.…")
+        lower = inner.lower()
+        # Nothing inside names no value (a line to sign on, an ellipsis); quoted keys are data.
+        if '"' in inner or not inner:
+            continue
+        runs = re.findall(r"[^\W\d_]+", lower)
+        digits = bool(re.search(r"\d", inner))
+        marks = ["form " + form, "digit" if digits else "plain", "quote" if re.search(r"[\"'“”:：]", inner) else "bare", "words " + str(min(len(runs), 5)), "length " + str(min(len(inner) // 8, 6))]
+        marks += ["upper"] * (inner.isupper() and inner.isascii()) + ["snake"] * ("_" in inner) + ["empty"] * (not runs)
+        marks += ["word " + w for w in runs] + ["whole " + " ".join(runs)]
+        # Chinese has no blanks between words: pairs of characters stand in for them.
+        marks += ["pair " + w[i : i + 2] for w in runs if not w.isascii() for i in range(len(w) - 1)]
+        marks += ["before " + text[max(0, match.start() - 2) : match.start()].lower(), "after " + text[match.end() : match.end() + 2].lower()]
+        marks += ["first " + runs[0][:2], "last " + runs[-1][-2:]] if runs else []
+        yield marks, (form in SEED_FORMS or bool(SEED_ASKING.search(inner))) and bool(runs) and not digits
 
 
 def _ends(texts: list[str]) -> np.ndarray:
@@ -150,131 +113,203 @@ def _ends(texts: list[str]) -> np.ndarray:
     return ends
 
 
-def _passages(texts: list[str]) -> tuple[Units, Units]:
-    """Passages as units of the filler model, documents as units of the error model; both share the tokens and pairs of tokens."""
-    lowered = [t.lower() for t in texts]
-    record, token, begin, _ = token_stream(lowered, offsets=True)
-    lengths = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1
-    starts = np.cumsum(lengths) - lengths
-    ends = _ends(lowered)
-    place = begin + starts[record] if len(record) else np.empty(0, np.int64)
-    number = np.cumsum(ends)
-    passage = number[place] if len(place) else np.empty(0, np.int64)
-    new = np.r_[True, np.diff(passage) != 0][: len(passage)]
-    unit = np.cumsum(new) - 1
+def _lists(flat: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat, kind))
+
+
+ENCODED = "id string, tokens array<int>, passages array<int>, filler array<boolean>, error boolean, marks array<int>, slots array<int>, named array<boolean>"
+
+
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents as numbers: tokens, the sizes of passages and which are seeds; marks of candidate slots likewise."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        lowered = [t.lower() for t in texts]
+        record, token, begin, _ = token_stream(lowered, offsets=True)
+        lengths = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1
+        starts = np.cumsum(lengths) - lengths
+        ends = _ends(lowered)
+        passage = np.cumsum(ends)[begin + starts[record]] if len(record) else np.empty(0, np.int64)
+        first = np.flatnonzero(np.r_[True, np.diff(passage) != 0][: len(passage)])
+        sizes = np.diff(np.r_[first, len(passage)])
+        owner = record[first]
+        # Seeds of filler: only texts that hold one are looked at.
+        joined, cut = "\n".join([*lowered, ""]), np.r_[0, np.flatnonzero(ends) + 1]
+        seeded = np.zeros(len(first), bool)
+        likely = [i for i, t in enumerate(lowered) if any(p in t for p in SEED_FILLER)]
+        for n in np.flatnonzero(np.isin(owner, likely)) if likely else ():
+            text = joined[cut[passage[first[n]]] : cut[min(passage[first[n]] + 1, len(cut) - 1)]]
+            seeded[n] = _seeded(text, SEED_FILLER)
+        errors = [_seeded(t, SEED_ERROR) for t in lowered]
+        marks, slot_sizes, named, slots = [], [], [], []
+        for text in texts:
+            before = len(slot_sizes)
+            for own, seed in _slots(text):
+                marks += [crc32(m.encode("utf-8", "surrogatepass")) & (FEATURES - 1) for m in own]
+                slot_sizes.append(len(own))
+                named.append(seed)
+            slots.append(len(slot_sizes) - before)
+        slots, slot_sizes = np.array(slots, np.int64), np.array(slot_sizes, np.int64)
+        own_marks = np.bincount(np.repeat(np.arange(len(texts)), slots), slot_sizes, minlength=len(texts)).astype(np.int64)
+        count, passages = np.bincount(record, minlength=len(texts)), np.bincount(owner, minlength=len(texts))
+        columns = [
+            batch.column("id"), _lists((token & np.uint64(FEATURES - 1)).astype(np.int32), count, pa.int32()), _lists(sizes, passages, pa.int32()), _lists(seeded, passages, pa.bool_()), pa.array(errors, pa.bool_()),
+            _lists(np.array(marks, np.int32), own_marks, pa.int32()), _lists(slot_sizes, slots, pa.int32()), _lists(np.array(named, bool), slots, pa.bool_()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "tokens", "passages", "filler", "error", "marks", "slots", "named"])
+
+
+def _seeded(lower: str, seeds: tuple[str, ...]) -> bool:
+    """Whether seeds make up enough of a lower-cased text."""
+    said = sum(len(p) * lower.count(p) for p in seeds if p in lower)
+    return said > 0 and said >= SEED_SHARE[seeds] * len(lower.strip())
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and the length of each list."""
+    offsets = column.offsets.to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(offsets)
+
+
+def _mark(name: str) -> int:
+    return crc32(name.encode()) & (FEATURES - 1)
+
+
+LENGTHS = np.array([_mark(f"log length {i}") for i in range(64)])
+#: A passage repeats itself if at least this share of its tokens occurred just before in it.
+REPEATS = ((0.25, _mark("repeats a quarter")), (0.5, _mark("repeats half")))
+
+
+def _units(batch: pa.RecordBatch) -> tuple[Units, Units, Units]:
+    """The units of encoded documents: slots, passages for the filler model, documents for the error model.
+
+    Passages and documents share tokens and pairs of tokens; a document also has its length, and a passage its repetitions.
+    """
+    token, count = _flat(batch.column("tokens"))
+    token = token.astype(np.uint64)
+    sizes, passages = _flat(batch.column("passages"))
+    record = np.repeat(np.arange(batch.num_rows), count)
+    unit = np.repeat(np.arange(len(sizes)), sizes)
+    owner = np.repeat(np.arange(batch.num_rows), passages)
     pair = np.flatnonzero(record[1:] == record[:-1])
-    twin = mix(token[pair] * np.uint64(0x9E3779B97F4A7C15) + token[pair + 1])
-    feature = np.r_[token, twin] & np.uint64(FEATURES - 1)
-    feature = feature.astype(np.int64)
-    owner = record[new]
-    # Trust passages that are mostly filler words or phrases.
-    joined = "\n".join([*lowered, ""])
-    cut = np.r_[0, np.flatnonzero(ends) + 1]
-    first = cut[passage[new]] if len(owner) else np.empty(0, np.int64)
-    last = cut[np.minimum(passage[new] + 1, len(cut) - 1)] if len(owner) else first
-    trusted = np.zeros(len(owner), bool)
-    likely = {i for i, t in enumerate(lowered) if "lorem" in t or any(p in t for p in FILLER_PHRASES) or not LATIN.isdisjoint(t.split())}
-    for n in np.flatnonzero(np.isin(owner, list(likely))) if likely else ():
-        text = joined[first[n] : last[n]]
-        words = re.findall(r"[^\W\d_]+", text)
-        said = _filler_characters(text)
-        trusted[n] = (len(words) >= 4 and 2 * sum(w in LATIN for w in words) >= len(words)) or (said > 0 and 3 * said >= len(text.strip()))
-    fillers = Units(owner, np.r_[unit, unit[pair]], feature, trusted, np.zeros(len(owner), bool))
-    notices = np.fromiter((len(t) <= SHORT and _notices(t) for t in lowered), bool, len(texts))
-    errors = Units(np.arange(len(texts)), np.r_[record, record[pair]], feature, notices, np.fromiter((len(t) > SHORT for t in texts), bool, len(texts)))
-    return fillers, errors
-
-
-def _units(texts: list[str]) -> tuple[Units, Units, Units]:
-    return (_slots(texts), *_passages(texts))
+    twin = mix(token[pair] * np.uint64(0x9E3779B97F4A7C15) + token[pair + 1]) & np.uint64(FEATURES - 1)
+    both = np.r_[token, twin].astype(np.int64)
+    # Tokens that say again what stands one, two or four before.
+    said = np.zeros(len(token), bool)
+    for back in (1, 2, 4):
+        said[back:] |= (token[back:] == token[:-back]) & (unit[back:] == unit[:-back])
+    repeats = np.bincount(unit[said], minlength=len(sizes))
+    again = [(np.flatnonzero((repeats >= share * sizes) & (sizes > 2)), mark) for share, mark in REPEATS]
+    # A passage of one token, such as a number, is too little to tell.
+    at = np.r_[unit, unit[pair]]
+    told = sizes[at] > 1
+    fillers = Units(owner, np.concatenate([at[told], *(at for at, _ in again)]), np.concatenate([both[told], *(np.full(len(at), mark) for at, mark in again)]), _flat(batch.column("filler"))[0].astype(bool))
+    # A text without any token has no evidence, not even its length.
+    told = np.flatnonzero(count)
+    size = LENGTHS[np.log2(count[told]).astype(np.int64)]
+    errors = Units(np.arange(batch.num_rows), np.r_[record, record[pair], told], np.r_[both, size], batch.column("error").to_numpy(zero_copy_only=False).astype(bool))
+    mark, _ = _flat(batch.column("marks"))
+    marks, slots = _flat(batch.column("slots"))
+    named = _flat(batch.column("named"))[0].astype(bool)
+    found = Units(np.repeat(np.arange(batch.num_rows), slots), np.repeat(np.arange(len(marks)), marks), mark.astype(np.int64), named)
+    return found, fillers, errors
 
 
 Model = list[tuple[np.ndarray | None, float]]
 
 
-def _counting(model: Model):
-    """One expectation step: features weighted by the chance that their unit is positive, and all features, per kind."""
+def _counting(model, first: bool):
+    """One expectation step: per kind, features weighted by the chance that their unit is positive; in the first round also how often they occur at all. One table per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The two numbers past all features count the units and the features.
+        positive, every = np.zeros((2, 3, FEATURES + 2))
         for batch in batches:
-            for kind, units in enumerate(_units(batch.column("text").to_pylist())):
-                chance = 1 / (1 + np.exp(-np.clip(units.score(*model[kind]), -50, 50))) if model[kind][0] is not None else np.full(len(units.owner), START[kind])
-                chance[units.negative] = 0
+            for kind, units in enumerate(_units(batch)):
+                weights, prior = model.value[kind]
+                chance = np.zeros(len(units.owner)) if weights is None else 1 / (1 + np.exp(-np.clip(units.score(weights, prior), -50, 50)))
                 chance[units.trusted] = 1
-                every = np.bincount(units.feature, minlength=FEATURES)
-                positive = np.bincount(units.feature, chance[units.unit], minlength=FEATURES)
-                at = np.flatnonzero(every)
-                # the last feature number is one past all features: it counts the units themselves
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at) + 1, kind, np.int32)), pa.array(np.r_[at, FEATURES].astype(np.int32)), pa.array(np.r_[positive[at], chance.sum()]), pa.array(np.r_[every[at], len(chance)].astype(np.float64))],
-                    names=["kind", "feature", "positive", "every"],
-                )
+                share = chance[units.unit]
+                positive[kind] += np.bincount(units.feature, share, minlength=FEATURES + 2)
+                positive[kind, FEATURES:] += chance.sum(), share.sum()
+                if first:
+                    every[kind] += np.bincount(units.feature, minlength=FEATURES + 2)
+                    every[kind, FEATURES:] += len(chance), len(share)
+        for kind in range(3):
+            at = np.flatnonzero(every[kind] if first else positive[kind] > 1e-6)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(positive[kind][at]), pa.array(every[kind][at])], names=["kind", "feature", "positive", "every"])
 
     return run
 
 
-def fit(documents: DataFrame, text_col: str, *, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS) -> Model:
-    """The three models: a weight per feature and the prior log odds of each.
+def encoded(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """All documents as numbers, written: texts are tokenised once, however many rounds follow. Rows with a null id or text are left out."""
+    rows = documents.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    return written(rows.mapInArrow(_encode, ENCODED))
+
 
-    They are fitted on at most about ``fit_rows`` documents chosen by the hash of their text. Each round counts, in Spark,
-    the features of all units weighted by their current chance; only feature totals, whose number is bounded by
-    ``FEATURES``, reach the driver. A kind without any trusted unit gets no model and finds nothing.
+def fit(documents: DataFrame, *, rounds: int = ROUNDS) -> Model:
+    """The three models of :func:`encoded` documents: a weight per feature and the prior log odds of each.
+
+    All documents take part. Each round counts, in Spark, the features of all units weighted by their current chance; only feature totals
+    reach the driver, and their number is bounded by ``FEATURES``. Features that no document has say nothing. A kind without any seed gets no model and finds nothing.
     """
-    texts = documents.select(F.col(text_col).alias("text")).filter("text is not null")
-    share = fit_rows / max(1, texts.count())
-    if share < 1:
-        texts = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    texts = written(texts)
+    context = documents.sparkSession.sparkContext
     model: Model = [(None, -np.inf)] * 3
-    for _ in range(rounds):
-        counts = texts.mapInArrow(_counting(model), "kind int, feature int, positive double, every double").groupBy("kind", "feature").agg(F.sum("positive").alias("positive"), F.sum("every").alias("every"))
-        table = counts.filter("positive > 0.01 or every > 1").toArrow()
-        totals = counts.filter(F.col("feature") < FEATURES).groupBy("kind").agg(F.sum("positive"), F.sum("every")).collect()
-        totals = {r[0]: (r[1], r[2]) for r in totals}
-        kinds, features, positive, every = (table[c].to_numpy() for c in ("kind", "feature", "positive", "every"))
-        model = []
-        for kind in range(3):
-            own = kinds == kind
-            head = own & (features == FEATURES)
-            found, units = positive[head].sum(), every[head].sum()
-            if found < 1 or kind not in totals:
-                model.append((None, -np.inf))
-                continue
-            own &= features < FEATURES
-            n_pos, n_all = totals[kind]
-            background = every[own] / n_all
-            # Features of neither class say nothing.
-            weights = np.zeros(FEATURES, np.float32)
-            against = every[own] - positive[own] + LEAST_COUNT
-            weights[features[own]] = np.log((positive[own] + SMOOTHING * background) / (n_pos + SMOOTHING)) - np.log(against / (n_all - n_pos + LEAST_COUNT * own.sum()))
-            model.append((weights, min(float(np.log(found / max(units - found, 1.0))), MOST_PRIOR)))
+    every, before = np.zeros((3, FEATURES + 2)), np.zeros(3)
+    for n in range(rounds):
+        shared = context.broadcast(model)
+        counts = documents.mapInArrow(_counting(shared, n == 0), "kind int, feature int, positive double, every double").groupBy("kind", "feature").agg(F.sum("positive").alias("positive"), F.sum("every").alias("every"))
+        # How often a feature occurs at all stays the same.
+        table = (counts if n == 0 else counts.filter(F.col("positive") > 0.01).drop("every")).toArrow()
+        at = table["kind"].to_numpy(), table["feature"].to_numpy()
+        positive = np.zeros((3, FEATURES + 2))
+        positive[at] = table["positive"].to_numpy()
+        if n == 0:
+            every[at] = table["every"].to_numpy()
+        model = [_weights(positive[kind], every[kind]) for kind in range(3)]
+        found, before = positive[:, FEATURES], positive[:, FEATURES] - before
+        if (np.abs(before) <= SETTLED * found).all():
+            break
+        before = found
     return model
 
 
-def judge(documents: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
-    """``(id, kind, score, units)`` for every reason to exclude a document: the highest log odds of its units of a kind, and how many are positive.
+def _weights(positive: np.ndarray, every: np.ndarray) -> tuple[np.ndarray | None, float]:
+    """One maximization step, from the counts of a kind."""
+    found, units = positive[FEATURES], every[FEATURES]
+    n_pos, n_all = positive[FEATURES + 1], every[FEATURES + 1]
+    if found < 1 or n_pos >= n_all:
+        return None, -np.inf
+    share, other = n_pos / n_all, np.maximum(every - positive, 0)[:FEATURES]
+    weights = np.log((positive[:FEATURES] + PSEUDO * share) / n_pos) - np.log((other + PSEUDO * (1 - share)) / (n_all - n_pos))
+    return weights.astype(np.float32), min(float(np.log(found / max(units - found, 1.0))), MOST_PRIOR)
 
-    Whole texts are scored, all of them. Rows with a null id or text give nothing, blank texts have no evidence. A
-    repeated row gives its reasons once. An empty table gives no rows; other columns are ignored.
+
+def judge(documents: DataFrame, model: Model) -> DataFrame:
+    """``(id, kind, score, units)`` for every reason to exclude one of the :func:`encoded` documents: the highest log odds of its units of a kind, and how many are positive.
+
+    Whole texts are scored, all of them. Blank texts have no evidence. A
+    repeated row gives its reasons once. An empty table gives no rows.
     """
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("id"), batch.column("text").to_pylist()
-            for kind, units in enumerate(_units(texts)):
-                odds = units.score(*model[kind])
-                odds[units.trusted] = np.maximum(odds[units.trusted], 9.0)
+            ids, count = batch.column("id"), batch.num_rows
+            for kind, units in enumerate(_units(batch)):
+                odds = units.score(*shared.value[kind])
                 hits = odds > 0
-                best = np.full(len(texts), -np.inf)
+                best = np.full(count, -np.inf)
                 np.maximum.at(best, units.owner[hits], odds[hits])
                 at = np.flatnonzero(best > 0)
-                number = np.bincount(units.owner[hits], minlength=len(texts))[at]
+                number = np.bincount(units.owner[hits], minlength=count)[at]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array([NAMES[kind]] * len(at), pa.string()), pa.array(best[at]), pa.array(number.astype(np.int64))], names=["id", "kind", "score", "units"])
 
-    rows = documents.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    return rows.mapInArrow(run, "id string, kind string, score double, units long").distinct()
+    return documents.mapInArrow(run, "id string, kind string, score double, units long").distinct()
 
 
 def residue(documents: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """Fit on ``documents`` and judge all of them; see :func:`fit` and :func:`judge`."""
-    return judge(documents, id_col, text_col, fit(documents, text_col, **options))
+    """Fit on ``documents`` and judge all of them; see :func:`fit` and :func:`judge`. Other columns are ignored."""
+    rows = encoded(documents, id_col, text_col)
+    return judge(rows, fit(rows, **options))
