@@ -1,6 +1,6 @@
 import random
 
-from lexloom.operators.intervals import periods_and_gaps
+from lexloom.operators.intervals import levels_for, periods_and_gaps
 
 SCHEMA = "entity string, s int, e int, start string, kind int, rank int"
 
@@ -50,3 +50,17 @@ def test_empty_and_hot(spark):
     assert found(spark, []) == set()
     rows = [("hot", 3 * i, 3 * i + 2, None, None, None) for i in range(2000)]
     assert found(spark, rows, 64) == brute(rows)
+
+
+def test_hot_entity_with_microseconds(spark):
+    """Sparse bounds: every first block holds one row, and the blocks are ranked in blocks themselves."""
+    rng = random.Random(6)
+    start = 1_600_000_000_000_000
+    rows = []
+    for i in range(3000):
+        s = start + i * 7_000_000_000 + rng.randrange(6_000_000_000)
+        rows.append(("hot" if i % 50 else "cold", s, s + rng.randrange(1, 9_000_000_000)))
+    assert levels_for(3000 * 7_000_000_000) == 3 and levels_for(5000) == 1 and levels_for(4096**2) == 2
+    df = spark.createDataFrame(rows, "entity string, s long, e long")
+    for block in (16, 4096):
+        assert {tuple(r) for r in periods_and_gaps(df, "entity", "s", "e", block).collect()} == brute(rows)
