@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 LIMIT, OVERLAP = 600, 50
 #: Marks that end a sentence wherever they stand (fixed values).
 TERMINATORS = "。！？!?；;"
-#: Costs of a cut: at a line break, at a sentence end, elsewhere within an oversized stretch.
-LINE, SENTENCE, WORD = 0.0, 0.05, 1.0
+#: Costs of a cut: after a blank line, at a line break, at a sentence end, elsewhere within an oversized stretch.
+PARAGRAPH, LINE, SENTENCE, WORD = 0.0, 0.02, 0.05, 1.0
 #: Cost of an overlap that had to shrink.
 SHORT_OVERLAP = 0.5
 
@@ -64,20 +64,21 @@ class Measured:
         stops = np.flatnonzero(self.bits[:-1] & STOP)
         ends[stops] = (self.bits[stops + 1] & BLANK) != 0
         at = np.flatnonzero(ends[:-1]) + 1
-        return at, np.where(self.bits[at - 1] & BREAK, LINE, SENTENCE)
+        broken = (self.bits & BREAK) != 0
+        # What stands before the line break, a carriage return being part of it.
+        before = at - 2 - ((self.points[at - 1] == 0x0A) & (at > 1) & (self.points[at - 2] == 0x0D))
+        blank = broken[at - 1] & (before >= 0) & broken[before]
+        return at, np.where(blank, PARAGRAPH, np.where(broken[at - 1], LINE, SENTENCE))
 
 
-def _inside_stretch(m: Measured, lo: int, hi: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def _inside_stretch(m: Measured, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     """Cut positions within a stretch that has no natural boundary: beside blanks and CJK characters.
 
-    A word counts 1 however long it is, so no cut inside a word is ever needed. Positions are thinned to about 24
-    per limit, which the dynamic program still balances well.
+    A word counts 1 however long it is, so no cut inside a word is ever needed.
     """
     inner = np.arange(lo + 1, hi)
     positions = inner[~(m.word[inner - 1] & m.word[inner])]
-    bucket = m.size(np.full(len(positions), lo), positions) // max(1, limit // 24)
-    last = np.r_[np.flatnonzero(np.diff(bucket)), len(bucket) - 1] if len(bucket) else np.empty(0, int)
-    return positions[last], np.full(len(last), WORD)
+    return positions, np.full(len(positions), WORD)
 
 
 def split_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[int], list[int], bool]:
@@ -100,7 +101,7 @@ def split_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple
     wide = np.flatnonzero(m.size(bounds[:-1], bounds[1:]) > limit)
     forced = bool(len(wide))
     if forced:
-        extra = [_inside_stretch(m, int(bounds[i]), int(bounds[i + 1]), limit) for i in wide]
+        extra = [_inside_stretch(m, int(bounds[i]), int(bounds[i + 1])) for i in wide]
         cuts, costs = np.r_[cuts, np.concatenate([e[0] for e in extra])], np.r_[costs, np.concatenate([e[1] for e in extra])]
         order = np.argsort(cuts, kind="stable")
         cuts, costs = cuts[order], costs[order]

@@ -70,3 +70,42 @@ def test_operator(spark):
         assert (r["span_start"], r["span_end"]) == ((r["start"] + 100, r["end"] + 100) if r["kind"] == "chunk" else (None, None))
     assert len(got) == len({(r["kind"], r["piece"]) for r in got})
     assert split_oversized(df.limit(0), "kind", "id", "text").count() == 0
+
+
+def cost_of(text, at):
+    """Cost of a cut: after a blank line, at a line break, at a sentence end, elsewhere."""
+    head = text[:at].replace("\r\n", "\n")
+    if head.endswith(("\n", "\r")):
+        return 0.0 if head[:-1].endswith(("\n", "\r")) else 0.02
+    return 0.05 if head[-1] in "。！？!?；;" or (head[-1] == "." and text[at].isspace()) else 1.0
+
+
+def cheapest(text, limit):
+    """Least cost of cutting ``text`` at any place that is no inside of a word, or at natural boundaries only where these suffice."""
+    aim = size(text) / -(-size(text) // limit)
+    natural = {m.end() for m in re.finditer(r"[。！？!?；;\n\r]|\.(?=\s)", text)} - {len(text)}
+    bounds = sorted({0, len(text)} | natural)
+    places = set(bounds)
+    for a, b in zip(bounds, bounds[1:]):
+        if size(text[a:b]) > limit:
+            plain = lambda c: not c.isspace() and not CJK.match(c)
+            places |= {i for i in range(a + 1, b) if not (plain(text[i - 1]) and plain(text[i]))}
+    best = {0: 0.0}
+    for j in sorted(places)[1:]:
+        prices = [best[i] + ((size(text[i:j]) - aim) / limit) ** 2 for i in best if size(text[i:j]) <= limit]
+        best[j] = min(prices) + (cost_of(text, j) if j < len(text) else 0.0)
+    return best[len(text)]
+
+
+def test_cost_against_brute_force():
+    rng = random.Random(31)
+    pieces = [*PIECES, "\n\n", "\r\n", "\r\n\r\n"]
+    for _ in range(60):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(20, 90)))
+        limit = rng.choice([8, 15, 30])
+        if size(text) <= limit:
+            continue
+        starts, ends, _ = split_points(text, limit, 0)
+        aim = size(text) / -(-size(text) // limit)
+        got = sum(((size(text[s:e]) - aim) / limit) ** 2 for s, e in zip(starts, ends)) + sum(cost_of(text, e) for e in ends[:-1])
+        assert abs(got - cheapest(text, limit)) < 1e-9
