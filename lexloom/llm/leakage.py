@@ -21,7 +21,7 @@ from lexloom.llm.tokens import sequence_hash, token_stream
 SHARD_TOKENS = 1_000_000
 #: Every so many text positions one suffix position is kept.
 SAMPLE = 16
-#: Passages are searched in blocks of so many rows, so the phrases sent to the tasks stay bounded.
+#: Passages are searched in blocks of so many rows: the driver holds one at a time, and a task meets them one after the other.
 ITEM_BLOCK = 20_000
 SEPARATOR, OTHER = 0, 1
 
@@ -151,39 +151,40 @@ class FMIndex:
         return phrase, found
 
 
+class Vocabulary:
+    """Symbols of the tokens of all passages; other tokens are one and the same symbol."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens = np.unique(tokens)
+        self.sigma = len(self.tokens) + 2
+        size = 1 << max(12, 4 * len(self.tokens)).bit_length()
+        slot = (self.tokens & np.uint64(size - 1)).astype(np.int64)
+        self.shared = np.bincount(slot, minlength=size) > 1
+        self.slot = np.zeros(size, np.int32)
+        self.slot[slot] = np.arange(len(slot))
+
+    def symbols(self, token: np.ndarray) -> np.ndarray:
+        if not len(self.tokens):
+            return np.full(len(token), OTHER, np.int32)
+        place = (token & np.uint64(len(self.slot) - 1)).astype(np.int64)
+        at = self.slot[place]
+        check = np.flatnonzero(self.shared[place])
+        at[check] = np.minimum(np.searchsorted(self.tokens, token[check]), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == token, at + 2, OTHER).astype(np.int32)
+
+
 class Phrases:
-    """All runs of ``length`` tokens of the passages, over an alphabet of the passages' own tokens."""
-
-    def __init__(self, texts: list[str | None], length: int):
-        record, token = token_stream(texts)
-        self.vocabulary = np.unique(token)
-        self.sigma = len(self.vocabulary) + 2
-        n = len(token) - length + 1
-        windows = np.lib.stride_tricks.sliding_window_view(self.symbols(token), length) if n > 0 else np.empty((0, length), np.int32)
+    """All runs of ``length`` symbols of passages of at least that many, and the passages that hold each."""
+
+    def __init__(self, record: np.ndarray, symbol: np.ndarray, length: int):
+        n = len(symbol) - length + 1
+        windows = np.lib.stride_tricks.sliding_window_view(symbol, length) if n > 0 else np.empty((0, length), np.int32)
         whole = record[: max(n, 0)] == record[length - 1 :] if n > 0 else np.empty(0, bool)
         windows, owner = windows[whole], record[: max(n, 0)][whole]
         self.rows, same = np.unique(windows, axis=0, return_inverse=True)
         order = np.argsort(same.ravel(), kind="stable")
         self.owner, self.first = owner[order], np.r_[0, np.cumsum(np.bincount(same.ravel(), minlength=len(self.rows)))]
         self.length = length
-        size = 1 << max(12, 4 * len(self.vocabulary)).bit_length()
-        slot = (self.vocabulary & np.uint64(size - 1)).astype(np.int64)
-        self.shared = np.bincount(slot, minlength=size) > 1
-        self.slot = np.zeros(size, np.int32)
-        self.slot[slot] = np.arange(len(slot))
-
-    def symbols(self, token: np.ndarray) -> np.ndarray:
-        """Symbols of tokens; those that occur in no passage become one and the same."""
-        if not len(self.vocabulary):
-            return np.full(len(token), OTHER, np.int32)
-        if hasattr(self, "slot"):
-            place = (token & np.uint64(len(self.slot) - 1)).astype(np.int64)
-            at = self.slot[place]
-            check = np.flatnonzero(self.shared[place])
-            at[check] = np.minimum(np.searchsorted(self.vocabulary, token[check]), len(self.vocabulary) - 1)
-        else:
-            at = np.minimum(np.searchsorted(self.vocabulary, token), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == token, at + 2, OTHER).astype(np.int32)
 
     def owners(self, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indexes into ``phrase`` and the passages that hold each."""
@@ -195,64 +196,98 @@ class Phrases:
 SPANS = pa.schema([("id", pa.string()), ("item", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("tokens", pa.int64())])
 
 
-def _search(ids: list[str], texts: list[str], phrases: Phrases, items: list[str]) -> pa.Table:
-    """Merged spans of one shard."""
+def _block(items: list[str], texts: list[str], vocabulary: Vocabulary, length: int, short: bool) -> tuple[list[str], list[Phrases]]:
+    """The phrases of a block of passages: runs of ``length`` tokens and, with ``short``, the whole of every shorter passage."""
+    record, token = token_stream(texts)
+    symbol = vocabulary.symbols(token)
+    found = [Phrases(record, symbol, length)]
+    sizes = np.bincount(record, minlength=len(texts))
+    for size in np.unique(sizes[(sizes > 0) & (sizes < length)]).tolist() if short else ():
+        own = sizes[record] == size
+        found.append(Phrases(record[own], symbol[own], size))
+    return items, [p for p in found if len(p.rows)]
+
+
+def _original(text: str, at: np.ndarray, end: bool) -> np.ndarray:
+    """Positions in the lower-cased text as positions in the text itself; lower case of some characters is longer."""
+    grown = np.cumsum([len(c.lower()) for c in text])
+    return np.searchsorted(grown, at, side="left") + 1 if end else np.searchsorted(grown, at, side="right")
+
+
+def _search(ids: list[str], texts: list[str], vocabulary: Vocabulary, blocks: list) -> Iterator[pa.RecordBatch]:
+    """Merged spans of one shard, which is indexed once and searched for the phrases of every block."""
     record, token, begin, end = token_stream(texts, offsets=True)
+    for n, text in enumerate(texts):
+        if not text.isascii() and len(text.lower()) != len(text):
+            own = slice(*np.searchsorted(record, [n, n + 1]))
+            begin[own], end[own] = _original(text, begin[own], False), _original(text, end[own], True)
     counts = np.bincount(record, minlength=len(texts))
     symbols = np.zeros(len(token) + len(texts), np.int32)
-    symbols[np.arange(len(token)) + record] = phrases.symbols(token)
+    symbols[np.arange(len(token)) + record] = vocabulary.symbols(token)
     starts = np.r_[0, np.cumsum(counts + 1)][:-1]
-    phrase, at = FMIndex(symbols, phrases.sigma).find(phrases.rows)
-    index, passage = phrases.owners(phrase)
-    at = at[index]
-    doc = np.searchsorted(starts, at, side="right") - 1
-    order = np.lexsort((at, passage, doc))
-    doc, passage, at = doc[order], passage[order], at[order]
-    # Overlapping occurrences of one passage in one text are one span.
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (passage[1:] != passage[:-1]) | (at[1:] > at[:-1] + phrases.length)][: len(at)]
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:] - 1, len(at) - 1] if len(first) else first
-    lo, hi = at[first] - doc[first], at[last] - doc[last] + phrases.length - 1
-    text_ids = np.array(ids, object)[doc[first]] if len(first) else []
-    item_ids = np.array(items, object)[passage[first]] if len(first) else []
-    return pa.table([pa.array(text_ids, pa.string()), pa.array(item_ids, pa.string()), pa.array(begin[lo]), pa.array(end[hi]), pa.array(hi - lo + 1)], schema=SPANS)
-
-
-def leaked_spans(corpus: DataFrame, id_col: str, text_col: str, passages: DataFrame, item_col: str, passage_col: str, *, length: int = 30) -> DataFrame:
+    index = FMIndex(symbols, vocabulary.sigma)
+    for block in blocks:
+        items, each = block.value
+        for phrases in each:
+            phrase, at = index.find(phrases.rows)
+            place, passage = phrases.owners(phrase)
+            at = at[place]
+            doc = np.searchsorted(starts, at, side="right") - 1
+            order = np.lexsort((at, passage, doc))
+            doc, passage, at = doc[order], passage[order], at[order]
+            # Overlapping occurrences of one passage in one text are one span.
+            new = np.r_[True, (doc[1:] != doc[:-1]) | (passage[1:] != passage[:-1]) | (at[1:] > at[:-1] + phrases.length)][: len(at)]
+            first = np.flatnonzero(new)
+            if not len(first):
+                continue
+            last = np.r_[first[1:] - 1, len(at) - 1]
+            lo, hi = at[first] - doc[first], at[last] - doc[last] + phrases.length - 1
+            text_ids, item_ids = np.array(ids, object)[doc[first]], np.array(items, object)[passage[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(text_ids, pa.string()), pa.array(item_ids, pa.string()), pa.array(begin[lo]), pa.array(end[hi]), pa.array(hi - lo + 1)], schema=SPANS)
+
+
+def leaked_spans(
+    corpus: DataFrame, id_col: str, text_col: str, passages: DataFrame, item_col: str, passage_col: str, *, length: int = 30, short: bool = False, item_block: int | None = None
+) -> DataFrame:
     """``(id, item, start, end, tokens)``: every maximal stretch of a text in which all runs of ``length`` tokens come from one passage.
 
-    Offsets are code points of the lower-cased text. Passages and texts are tokenised alike: punctuation, blanks and
-    letter case do not matter. Passages shorter than ``length`` tokens cannot leak. The passages, a
-    stated query set, are searched in blocks of at most about ``ITEM_BLOCK`` rows, each against the whole corpus; the corpus is neither moved nor
-    sampled. Texts are indexed whole; one that exceeds the shard size is a shard by itself.
+    Offsets are code points of the text. Passages and texts are tokenised alike: punctuation, blanks and
+    letter case do not matter. Passages shorter than ``length`` tokens cannot leak, unless ``short`` asks for their occurrences as a whole. The passages, a
+    stated query set, are broadcast in blocks of at most about ``item_block`` rows (``ITEM_BLOCK`` by default); the corpus is neither moved nor
+    sampled, and each shard of it is indexed once for all blocks. Texts are indexed whole; one that exceeds the shard size is a shard by itself.
     Rows with a null id or text give nothing, on either side; ids come out as strings; copies each have their rows, a repeated row its rows once. Empty tables give no rows; extra columns
     are ignored.
     """
-    spark = corpus.sparkSession
+    context = corpus.sparkSession.sparkContext
     queries = passages.select(F.col(item_col).cast("string").alias("item"), F.col(passage_col).alias("text")).filter("item is not null and text is not null").distinct()
     texts = corpus.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    blocks = max(1, -(-queries.count() // ITEM_BLOCK))
-    found = None
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(token_stream(batch.column("text").to_pylist())[1]).view(np.int64))], names=["token"])
+
+    tokens = queries.select("text").mapInArrow(words, "token long").distinct().toArrow()["token"].to_numpy()
+    vocabulary = Vocabulary(tokens.astype(np.int64).view(np.uint64))
+    blocks, sent = max(1, -(-queries.count() // (item_block or ITEM_BLOCK))), []
     for block in range(blocks):
         held = queries.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).orderBy("item", "text").toArrow()
-        items, phrases = held["item"].to_pylist(), Phrases(held["text"].to_pylist(), length)
-
-        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases, items: list[str] = items) -> Iterator[pa.RecordBatch]:
-            ids, bodies, size = [], [], 0
-            for batch in batches:
-                for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                    ids.append(i)
-                    bodies.append(t)
-                    size += len(t) if not t.isascii() else len(t) // 5
-                    if size >= SHARD_TOKENS:
-                        yield from _search(ids, bodies, phrases, items).to_batches()
-                        ids, bodies, size = [], [], 0
-            if ids:
-                yield from _search(ids, bodies, phrases, items).to_batches()
-
-        part = texts.mapInArrow(run, "id string, item string, start long, end long, tokens long")
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
+        sent.append(context.broadcast(_block(held["item"].to_pylist(), held["text"].to_pylist(), vocabulary, length, short)))
+    shared = context.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, bodies, size = [], [], 0
+        for batch in batches:
+            for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+                ids.append(i)
+                bodies.append(t)
+                size += len(t) if not t.isascii() else len(t) // 5
+                if size >= SHARD_TOKENS:
+                    yield from _search(ids, bodies, shared.value, sent)
+                    ids, bodies, size = [], [], 0
+        if ids:
+            yield from _search(ids, bodies, shared.value, sent)
+
+    return texts.mapInArrow(run, "id string, item string, start long, end long, tokens long").distinct()
 
 
 def removal_spans(leaks: DataFrame) -> DataFrame:

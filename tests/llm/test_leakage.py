@@ -66,3 +66,19 @@ def test_leaks_against_brute_force(spark, monkeypatch):
 def test_removal_spans_merge(spark):
     rows = spark.createDataFrame([("d", "1", 0, 10), ("d", "2", 5, 20), ("d", "2", 20, 25), ("d", "3", 30, 40), ("e", "1", 0, 5)], "id string, item string, start long, end long")
     assert sorted(map(tuple, removal_spans(rows).collect())) == [("d", 0, 25, 2), ("d", 30, 40, 1), ("e", 0, 5, 1)]
+
+
+def test_offsets_are_of_the_text_itself(spark):
+    passage = "the İstanbul Supplier delivers İ goods to the buyer"
+    texts = [("a", f"İİ. İ {passage.upper()}! İ"), ("b", f"x {passage}"), ("c", "İ ß ﬀ " + passage.replace(" ", " … "))]
+    rows = leaked_spans(spark.createDataFrame(texts, "id string, text string"), "id", "text", spark.createDataFrame([("p", passage)], "item string, text string"), "item", "text", length=4).collect()
+    cut = {r["id"]: dict(texts)[r["id"]][r["start"] : r["end"]] for r in rows}
+    assert cut == {"a": passage.upper(), "b": passage, "c": passage.replace(" ", " … ")}
+
+
+def test_short_passages_as_a_whole(spark):
+    docs = spark.createDataFrame([("a", "we pay the fee today and the rest later"), ("b", "the fee"), ("c", "")], "id string, text string")
+    items = spark.createDataFrame([("one", "The fee, today"), ("two", "the fee"), ("three", "later"), ("four", ""), ("five", "we pay the fee today and")], "item string, text string")
+    found = lambda **o: sorted((r["id"], r["item"], r["tokens"]) for r in leaked_spans(docs, "id", "text", items, "item", "text", length=5, **o).collect())
+    assert found() == [("a", "five", 6)]
+    assert found(short=True) == [("a", "five", 6), ("a", "one", 3), ("a", "three", 1), ("a", "two", 2), ("b", "two", 2)] == found(short=True, item_block=1)
