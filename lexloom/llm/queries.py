@@ -130,16 +130,21 @@ def _sql_windows(width: int) -> str:
     return f"sh AS (SELECT DISTINCT kind, id, md5(array_to_string(ts[i:i + {width - 1}], ' ')) AS h FROM (SELECT kind, id, ts, unnest(range(1, len(ts) - {width - 2})) AS i FROM tk WHERE len(ts) >= {width}))"
 
 
+def _sql_reach(width: int, threshold: str) -> str:
+    """``reach``: every item with all items of its group, itself included, by the similarity of their runs of ``width`` tokens."""
+    return f"""WITH RECURSIVE {ITEMS}, tk AS (SELECT kind, id, {_sql_tokens('text')} AS ts FROM items), {_sql_windows(width)}, n AS (SELECT kind, id, count(*) AS n FROM sh GROUP BY kind, id),
+shared AS (SELECT a.kind, a.id AS x, b.id AS y, count(*) AS s FROM sh a JOIN sh b ON a.kind = b.kind AND a.h = b.h AND a.id < b.id GROUP BY ALL),
+links AS (SELECT shared.kind, x, y FROM shared JOIN n a ON a.kind = shared.kind AND a.id = x JOIN n b ON b.kind = shared.kind AND b.id = y WHERE s >= {threshold}::DOUBLE * (a.n + b.n - s)),
+both_ AS (SELECT kind, x, y FROM links UNION SELECT kind, y, x FROM links), reach(kind, x, y) AS (SELECT kind, x, y FROM both_ UNION SELECT r.kind, r.x, b.y FROM reach r JOIN both_ b ON r.kind = b.kind AND r.y = b.x)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"""WITH {ITEMS}, big AS (SELECT * FROM items WHERE {_sql_size('text')} > 600),
 parts AS (SELECT kind, id, unnest(string_split(regexp_replace(regexp_replace(text, '([.])(\\s)', '\\1' || chr(31) || '\\2', 'g'), '([。！？!?；;\\n\\r])', '\\1' || chr(31), 'g'), chr(31))) AS s FROM big)
 SELECT kind AS item_kind, id AS item_id, CASE WHEN max({_sql_size('s')}) > 600 THEN 'forced' ELSE 'natural' END AS cut FROM parts GROUP BY kind, id""",
-        "p4_found": f"""WITH RECURSIVE {ITEMS}, tk AS (SELECT kind, id, {_sql_tokens('text')} AS ts FROM items), {_sql_windows(3)}, n AS (SELECT kind, id, count(*) AS n FROM sh GROUP BY kind, id),
-shared AS (SELECT a.kind, a.id AS x, b.id AS y, count(*) AS s FROM sh a JOIN sh b ON a.kind = b.kind AND a.h = b.h AND a.id < b.id GROUP BY ALL),
-links AS (SELECT kind, x, y FROM shared JOIN n a ON a.kind = shared.kind AND a.id = x JOIN n b ON b.kind = shared.kind AND b.id = y WHERE s >= 0.7::DOUBLE * (a.n + b.n - s)),
-both_ AS (SELECT kind, x, y FROM links UNION SELECT kind, y, x FROM links), reach(kind, x, y) AS (SELECT kind, x, y FROM both_ UNION SELECT r.kind, r.x, b.y FROM reach r JOIN both_ b ON r.kind = b.kind AND r.y = b.x)
-SELECT DISTINCT kind AS item_kind, x AS id_a, y AS id_b FROM reach WHERE x < y""".replace("SELECT kind, x, y FROM shared JOIN", "SELECT shared.kind, x, y FROM shared JOIN"),
+        "p4_found": f"{_sql_reach(3, '0.7')} SELECT DISTINCT kind AS item_kind, x AS id_a, y AS id_b FROM reach WHERE x < y",
+        "p4_groups": f"{_sql_reach(5, '0.8')} SELECT r.kind, x AS id, least(x, min(y)) AS group_id, count(DISTINCT md5(array_to_string(ts, ' '))) AS n_texts FROM reach r JOIN tk ON tk.kind = r.kind AND tk.id = y GROUP BY r.kind, x",
         "p6_found": f"""WITH tk AS (SELECT 'd' AS kind, doc_id AS id, {_sql_tokens('text')} AS ts FROM documents WHERE text IS NOT NULL UNION ALL SELECT 't' AS kind, item_id AS id, {_sql_tokens('text')} AS ts FROM test_item WHERE text IS NOT NULL), {_sql_windows(30)}
 SELECT DISTINCT d.id AS doc_id, t.id AS item_id FROM sh d JOIN sh t ON d.kind = 'd' AND t.kind = 't' AND d.h = t.h""",
     }
