@@ -15,13 +15,19 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexloom.operators.intervals import running_totals
 from lexloom.session import written
 
 BLOCK_TOKENS, SHARD_TOKENS = 50_000, 2_000_000
+#: Blocks are larger where there would be more than so many in all, which is what the draws can handle.
+MOST_BLOCKS = 500_000_000
+#: A random order of numbered things: so many random bits before the number, and rows of a source that are ranked together.
+ORDER_BITS, NUMBER_BITS, RANKED = 23, 38, 65_536
 
 
 @lru_cache(maxsize=4)
@@ -35,14 +41,16 @@ def _encoding(path: str, pattern: str):
 def with_tokens(df: DataFrame, text_col: str, vocabulary: str, pattern: str, out: str = "tokens") -> DataFrame:
     """``df`` without its text but with ``out``: the number of tokens of the whole text, 0 for null.
 
-    ``vocabulary`` is the path of a tiktoken rank file that every executor can read. Strings of special tokens are ordinary text.
+    ``vocabulary`` is the path of a tiktoken rank file on the driver, which Spark sends to the executors. Strings of special tokens are ordinary text.
     """
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    name = Path(vocabulary).name
     kept = [c for c in df.columns if c not in (text_col, out)]
     source = df.select(*kept, F.col(text_col).alias("__text"))
     schema = ", ".join([f"`{n}` {t}" for n, t in df.select(*kept).dtypes] + [f"`{out}` long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(vocabulary, pattern)
+        encoding = _encoding(SparkFiles.get(name), pattern)
         for batch in batches:
             sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sizes, pa.int64())], names=[*kept, out])
@@ -50,6 +58,16 @@ def with_tokens(df: DataFrame, text_col: str, vocabulary: str, pattern: str, out
     return source.mapInArrow(run, schema)
 
 
+def _random_place(number: Column, *salt: Column) -> Column:
+    """A whole number that is unique to ``number`` and orders by chance."""
+    return F.shiftright(F.xxhash64(number, *salt), 64 - ORDER_BITS).bitwiseAND((1 << ORDER_BITS) - 1) * F.lit(1 << NUMBER_BITS) + number
+
+
+def _place_width(rows: int) -> int:
+    """Width of the ranges of places in which about ``RANKED`` of ``rows`` rows lie."""
+    return max(1, (1 << ORDER_BITS + NUMBER_BITS) // max(1, rows // RANKED))
+
+
 def shard_quotas(counts: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """``(first, number)``: how many blocks of every source fall to a shard, and how many fall to the shards before it.
 
@@ -109,6 +127,9 @@ def mixture(records: DataFrame, targets: DataFrame, *, total: int | None = None,
     sized = records.select(F.col("id"), F.col("source"), F.col("tokens").cast("long").alias("tokens")).filter("id is not null and source is not null and tokens > 0").dropDuplicates(["id"])
     sized = written(sized)
     plan, drawn = _draws(sized, targets, total)
+    block_tokens = max(block_tokens, -(-max(drawn, sum(r["available"] for r in plan)) // MOST_BLOCKS))
+    most = max((-(-r["available"] // block_tokens) for r in plan), default=1)
+    repeats = max((r["quota"] // r["available"] + 1 for r in plan if r["available"]), default=1)
     names = [r["source"] for r in plan]
     facts = spark.createDataFrame(
         [(r["source"], k, max(1, -(-r["available"] // block_tokens)), r["quota"] // r["available"] if r["available"] else 0, r["quota"] % r["available"] if r["available"] else 0) for k, r in enumerate(plan)] or [("", 0, 1, 0, 0)],
@@ -119,8 +140,8 @@ def mixture(records: DataFrame, targets: DataFrame, *, total: int | None = None,
     # Drawn blocks: whole passes, and in the last one the first blocks of a random order up to the rest of the quota.
     blocks = blocked.groupBy("source", "number", "passes", "rest", "block").agg(F.sum("tokens").alias("tokens"))
     whole = blocks.filter("passes > 0").select("source", "number", "block", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("copy"), F.lit(None).cast("long").alias("upto"))
-    order = W.partitionBy("source").orderBy(F.xxhash64("block", F.lit(seed), F.lit("rest")), "block").rowsBetween(W.unboundedPreceding, -1)
-    last = blocks.withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0))).filter("before < rest")
+    # Ranked range by range of a random place, so that a source with very many blocks is no single window.
+    last = running_totals(blocks.withColumn("place", _random_place(F.col("block"), F.lit(seed), F.lit("rest"))), "source", "place", "tokens", _place_width(most)).drop("place", "total").filter("before < rest")
     last = last.select("source", "number", "block", F.col("passes").alias("copy"), F.when(F.col("before") + F.col("tokens") > F.col("rest"), F.col("rest") - F.col("before")).alias("upto"))
     taken = written(whole.unionByName(last))
     counts = {r[0]: r[1] for r in taken.groupBy("number").count().collect()}
@@ -136,8 +157,9 @@ def mixture(records: DataFrame, targets: DataFrame, *, total: int | None = None,
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(source), shard)), pa.array(source.astype(np.int32)), pa.array(rank)], names=["shard", "number", "rank"])
 
     dealt = spark.range(shards).mapInArrow(deal, "shard long, number int, rank long")
-    permuted = W.partitionBy("number").orderBy(F.xxhash64("block", "copy", F.lit(seed)), "block", "copy")
-    placed = taken.withColumn("rank", F.row_number().over(permuted).cast("long") - 1).join(dealt, ["number", "rank"]).select("source", "block", "copy", "upto", "shard")
+    use = F.col("block") * repeats + F.col("copy")
+    permuted = running_totals(taken.withColumn("place", _random_place(use, F.lit(seed))).withColumn("one", F.lit(1)), "number", "place", "one", _place_width(most * repeats))
+    placed = permuted.withColumn("rank", F.col("before").cast("long")).join(dealt, ["number", "rank"]).select("source", "block", "copy", "upto", "shard")
 
     within = W.partitionBy("source", "block").orderBy(F.xxhash64("id", F.lit(seed), F.lit("in")), "id").rowsBetween(W.unboundedPreceding, -1)
     rows = blocked.select("id", "source", "block", "tokens", F.coalesce(F.sum("tokens").over(within), F.lit(0)).alias("before"))

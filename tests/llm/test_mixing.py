@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from lexloom.llm import mixing
 from lexloom.llm.mixing import mixture, shard_quotas, with_tokens
 
 
@@ -63,3 +64,15 @@ def test_tokens_of_a_public_vocabulary(spark):
     df = spark.createDataFrame([(1, "Hello <|endoftext|> 甲方", "z"), (2, "", "z"), (3, None, "z")], "id long, text string, tokens string")
     got = {r["id"]: r["tokens"] for r in with_tokens(df, "text", str(path), tokenizers.PATTERN).collect()}
     assert got[1] > 6 and got[2] == got[3] == 0
+
+
+def test_hot_source_is_ranked_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANKED", 16)
+    data = [(i, "hot" if i % 9 else "cold", 3) for i in range(4000)]
+    mixed, report = mixture(rows(spark, data), targets(spark, [("hot", 3.0, 2), ("cold", 1.0, 3)]), block_tokens=15, shard_tokens=600)
+    got = mixed.collect()
+    assert len({(r["id"], r["copy"]) for r in got}) == len(got)
+    shares = {r["source"]: r for r in report.collect()}
+    assert all(shares[s]["quota"] <= shares[s]["tokens"] < shares[s]["quota"] + 4 for s in ("hot", "cold"))
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(source#" in plan and "_block" in plan
