@@ -10,11 +10,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as tx
+from lexloom.session import written
 
 TOP_K, CANDIDATES, RRF_K = 10, 100, 60
 VECTOR_WEIGHT = BM25_WEIGHT = 0.5
@@ -55,27 +57,81 @@ def postings(chunks: DataFrame, id_col: str = "id", text_col: str = "text") -> D
     return tokens.select("id", "length", F.explode("tokens").alias("token")).groupBy("token", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
+def tokenised(chunks: DataFrame, *columns: str | Column) -> DataFrame:
+    """``(id, chunk_index, tokens, length)`` and other columns of all chunks, written, so that texts are tokenised once for any number of searches."""
+    rows = chunks.select("id", "chunk_index", *columns, tx.search_tokens(F.col("text")).alias("tokens"))
+    return written(rows.withColumn("length", F.size("tokens")))
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, scope: Column | None = None) -> DataFrame:
     """``(query_id, id, score, rank)``: the ``k`` best chunks for every query, by BM25 over all its tokens.
 
-    ``queries`` has ``query_id`` and ``query``. Statistics cover all chunks; ``scope``, a condition on
+    ``queries`` has ``query_id`` and ``query``; ``chunks`` are given with texts or :func:`tokenised`. Statistics cover all chunks; ``scope``, a condition on
     chunks, filters afterwards. A query without tokens, and a chunk that shares none, has no row. Ties go to the lower chunk index, then id.
-    Only postings of tokens that some query has are scored: they are shuffled once by token.
+
+    The stated queries go out in blocks of ``QUERY_BLOCK`` with the weights of their tokens. Every task scores its chunks against a block and keeps its own best ``k``, so
+    only ``k`` rows per query and task are shuffled, and a token that occurs in most chunks and queries costs no more than a look at each of them.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tx.search_tokens(F.col("query")))).alias("token"))
-    sized = chunks.select("id", "chunk_index", *([scope.alias("inside")] if scope is not None else []), F.size(tx.search_tokens(F.col("text"))).alias("length"))
-    corpus = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    wanted = postings(chunks).join(asked.select("token").distinct(), "token")
-    frequency = wanted.groupBy("token").agg(F.count("*").alias("df"))
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    weighed = wanted.join(frequency, "token").join(F.broadcast(corpus)).select("token", "id", part.alias("part"))
-    scores = asked.join(weighed, "token").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    scores = scores.join(sized.drop("length"), "id")
-    if scope is not None:
-        scores = scores.filter("inside").drop("inside")
+    context = chunks.sparkSession.sparkContext
+    indexed = chunks if "tokens" in chunks.columns else tokenised(chunks, *([scope.alias("inside")] if scope is not None else []))
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.array_distinct(tx.search_tokens(F.col("query"))).alias("tokens"))
+    asked = written(asked.filter(F.size("tokens") > 0))
+    words = asked.select(F.explode("tokens").alias("token")).distinct()
+    frequency = indexed.select(F.explode(F.array_distinct("tokens")).alias("token")).join(words, "token").groupBy("token").agg(F.count("*").alias("df")).toArrow()
+    count, mean = indexed.agg(F.count("*"), F.avg("length")).first()
+    df = frequency["df"].to_numpy()
+    known, weight = frequency["token"].combine_chunks(), np.log(1 + (count - df + 0.5) / (df + 0.5))
+    blocks, sent = max(1, -(-asked.count() // QUERY_BLOCK)), []
+    for block in range(blocks):
+        held = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").toArrow()
+        tokens = held["tokens"].combine_chunks()
+        token = pc.fill_null(pc.index_in(tokens.flatten(), value_set=known), -1).to_numpy()
+        query = np.repeat(np.arange(held.num_rows), np.diff(tokens.offsets.to_numpy()))
+        query, token = query[token >= 0], token[token >= 0]
+        order = np.argsort(token, kind="stable")
+        sent.append(context.broadcast((held["query_id"].combine_chunks(), query[order], np.searchsorted(token[order], np.arange(len(known) + 1)))))
+    shared = context.broadcast((known, weight))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weight = shared.value
+        for batch in batches:
+            tokens, n = batch.column("tokens"), batch.num_rows
+            offsets = tokens.offsets.to_numpy()
+            token = pc.fill_null(pc.index_in(tokens.flatten(), value_set=known), -1).to_numpy()
+            chunk = np.repeat(np.arange(n), np.diff(offsets))[token >= 0]
+            pair, tf = np.unique(chunk * np.int64(len(known) + 1) + token[token >= 0], return_counts=True)
+            chunk, token = pair // (len(known) + 1), pair % (len(known) + 1)
+            length = batch.column("length").to_numpy()[chunk]
+            part = weight[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / (mean or 1.0)))
+            place, ids = batch.column("chunk_index").to_numpy(zero_copy_only=False), batch.column("id")
+            order = np.lexsort((np.array(ids.to_pylist(), object).astype(str), place))
+            rank = np.empty(n, np.int64)
+            rank[order] = np.arange(n)
+            for block in sent:
+                names, query, first = block.value
+                # Some queries at a time, so that scores of a batch stay small.
+                for low in range(0, len(names), 256):
+                    high = min(low + 256, len(names))
+                    each = first[token + 1] - first[token]
+                    at = np.arange(each.sum()) + np.repeat(first[token] - np.r_[0, np.cumsum(each)[:-1]], each) if len(token) else np.empty(0, np.int64)
+                    own = query[at]
+                    some = (own >= low) & (own < high)
+                    cell = (own[some] - low) * n + np.repeat(chunk, each)[some]
+                    sums = np.round(np.bincount(cell, np.repeat(part, each)[some], minlength=(high - low) * n).reshape(high - low, n), 6)
+                    hit = np.bincount(cell, minlength=(high - low) * n).reshape(high - low, n) > 0
+                    sums[~hit] = -np.inf
+                    take = min(k, n)
+                    floor = -np.partition(-sums, take - 1, axis=1)[:, take - 1]
+                    q, c = np.nonzero(hit & (sums >= floor[:, None]))
+                    best = np.lexsort((rank[c], -sums[q, c], q))
+                    q, c = q[best], c[best]
+                    q, c = (x[np.arange(len(q)) - np.searchsorted(q, q) < k] for x in (q, c))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q + low)), ids.take(pa.array(c)), batch.column("chunk_index").take(pa.array(c)), pa.array(sums[q, c])], names=["query_id", "id", "chunk_index", "score"])
+
+    inside = indexed.filter("inside") if scope is not None else indexed
+    found = inside.select("id", "chunk_index", "tokens", "length").filter(F.size("tokens") > 0).mapInArrow(score, "query_id string, id string, chunk_index int, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_index", "id")
-    return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
 # Vectors ------------------------------------------------------------------------------------------
@@ -85,7 +141,7 @@ def vectors(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, dim: int = 64
     """``(query_id, id, score, rank)``: the ``k`` chunks of highest cosine similarity for every query vector, exactly.
 
     ``queries`` has ``query_id`` and ``vector``. Vectors that are null, of another length, all zero or not finite
-    take no part on either side. The stated queries go out in blocks of ``QUERY_BLOCK``; every task multiplies its chunks with a block and
+    take no part on either side. The stated queries go out in blocks of ``QUERY_BLOCK``; every task reads its chunks once, multiplies them with each block and
     keeps its own best ``k``, so only ``k`` rows per query and task are shuffled. Ties go to the lower chunk index, then id.
     """
 
@@ -99,19 +155,20 @@ def vectors(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, dim: int = 64
 
     asked = queries.filter(F.size("vector") == dim).select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast("array<float>").alias("vector"))
     rows = chunks.filter(F.size("embedding") == dim).select("id", "chunk_index", F.col("embedding").cast("array<float>").alias("embedding"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = None
+    blocks, sent = max(1, -(-asked.count() // QUERY_BLOCK)), []
     for block in range(blocks):
         held = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").toArrow()
         usable, wanted = unit(held["vector"]) if held.num_rows else (np.empty(0, bool), np.empty((0, dim)))
-        names = [n for n, u in zip(held["query_id"].to_pylist(), usable) if u]
-
-        def near(batches: Iterator[pa.RecordBatch], wanted: np.ndarray = wanted, names: list[str] = names) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                usable, own = unit(batch.column("embedding"))
+        sent.append(chunks.sparkSession.sparkContext.broadcast((wanted, [n for n, u in zip(held["query_id"].to_pylist(), usable) if u])))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            usable, own = unit(batch.column("embedding"))
+            kept = pa.array(np.flatnonzero(usable))
+            for block in sent:
+                wanted, names = block.value
                 if not len(own) or not names:
                     continue
-                kept = pa.array(np.flatnonzero(usable))
                 sims = wanted @ own.T
                 take = min(k, sims.shape[1])
                 # all that tie with the k-th come along; the ranking below settles ties
@@ -122,8 +179,7 @@ def vectors(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, dim: int = 64
                     names=["query_id", "id", "chunk_index", "score"],
                 )
 
-        part = rows.mapInArrow(near, "query_id string, id string, chunk_index int, score double")
-        found = part if found is None else found.unionByName(part)
+    found = rows.mapInArrow(near, "query_id string, id string, chunk_index int, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_index", "id")
     found = found.withColumn("score", F.round("score", 6)).dropDuplicates(["query_id", "id"])
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
@@ -142,6 +198,12 @@ def fused(by_vector: DataFrame, by_bm25: DataFrame, k: int = TOP_K) -> DataFrame
     return both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank", "vector_rank", "bm25_rank")
 
 
+def shown(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``hits`` (``query_id, id, rank, score``) as a search shows them: with the facts of their chunks and the head of the text."""
+    rows = hits.select("query_id", "rank", "id", "score").join(chunks, "id")
+    return rows.select("query_id", "rank", "id", "doc_id", "doc_title", "session_id", "page_no", "section_path", tx.head_snippet(F.col("text")).alias("snippet"), "score")
+
+
 def candidates(k: int = TOP_K) -> int:
     """How many candidates each search gives to the fusion."""
     return max(4 * k, CANDIDATES)
@@ -153,9 +215,12 @@ def reranked(hits: DataFrame, queries: DataFrame, chunks: DataFrame, scorer=None
     The default scorer is the share of the query's distinct tokens that the chunk has; a cross encoder can be given as a
     pandas UDF.
     """
-    scorer = scorer or (lambda q, t: F.size(F.array_intersect(tx.search_tokens(q), tx.search_tokens(t))) / F.greatest(F.size(F.array_distinct(tx.search_tokens(q))), F.lit(1)))
+    # Chunks that come tokenised are not tokenised again for the default scorer.
+    known = scorer is None and "tokens" in chunks.columns
+    words = (lambda t: t) if known else tx.search_tokens
+    scorer = scorer or (lambda q, t: F.size(F.array_intersect(tx.search_tokens(q), words(t))) / F.greatest(F.size(F.array_distinct(tx.search_tokens(q))), F.lit(1)))
     before = hits.select(F.col("query_id").cast("string").alias("query_id"), "id", F.col("rank").alias("before"))
-    pairs = before.join(queries.select(F.col("query_id").cast("string").alias("query_id"), "query"), "query_id").join(chunks.select("id", "text"), "id")
+    pairs = before.join(queries.select(F.col("query_id").cast("string").alias("query_id"), "query"), "query_id").join(chunks.select("id", F.col("tokens" if known else "text").alias("text")), "id")
     scored = pairs.select("query_id", "id", "before", F.round(scorer(F.col("query"), F.col("text")), 6).alias("score"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "before")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
