@@ -139,17 +139,22 @@ def evidence_number(n: Column) -> Column:
     return F.concat(F.lit("E"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string")))
 
 
-def register(evidence: DataFrame, run: str, order: list) -> DataFrame:
+def register(evidence: DataFrame, run: str, order: list, period: Column | None = None) -> DataFrame:
     """``evidence`` with the number of its span within each run: equal spans share the number of the first.
 
     Adds ``number`` (``E001`` ...) and ``first`` (whether the row is the one registered). Rows without a document or
-    offsets are left out. ``order`` is the order of arrival. The spans of a run are numbered in one window over its distinct spans.
+    offsets are left out. ``order`` is the order of arrival. The distinct spans of a run are numbered period by period: ``period`` must never fall as rows arrive, such as the
+    hour of the first column of ``order``; without it a run is one period.
     """
     rows = evidence.filter("document_id is not null and start_offset is not null and end_offset is not null")
     span = W.partitionBy(run, "document_id", "start_offset", "end_offset")
     rows = rows.withColumn("_arrival", F.struct(*order)).withColumn("_first", F.min("_arrival").over(span))
-    spans = rows.select(run, "_first").distinct().withColumn("_n", F.row_number().over(W.partitionBy(run).orderBy("_first")))
-    rows = rows.join(spans, [run, "_first"])
+    rows = rows.withColumn("_period", F.lit(0) if period is None else period).withColumn("_period", F.min("_period").over(span))
+    spans = rows.select(run, "_period", "_first").distinct()
+    before = F.sum("_spans").over(W.partitionBy(run).orderBy("_period").rowsBetween(W.unboundedPreceding, -1))
+    periods = spans.groupBy(run, "_period").agg(F.count("*").alias("_spans")).select(run, "_period", F.coalesce(before, F.lit(0)).alias("_before"))
+    spans = spans.join(periods, [run, "_period"]).withColumn("_n", F.row_number().over(W.partitionBy(run, "_period").orderBy("_first")) + F.col("_before"))
+    rows = rows.drop("_period").join(spans.drop("_period", "_before"), [run, "_first"])
     return rows.withColumn("number", evidence_number(F.col("_n"))).withColumn("first", F.col("_arrival") == F.col("_first")).drop("_arrival", "_first", "_n")
 
 
@@ -163,23 +168,30 @@ def audit_citations(cited: DataFrame, store: DataFrame) -> DataFrame:
     return counts.select("report", "total", "existing", (F.col("total") - F.col("existing")).alias("missing"), "matched", F.round(F.col("matched") / F.col("total"), 6).alias("rate"))
 
 
-def conflicting_pairs(evidence: DataFrame, width: int = 4096) -> DataFrame:
-    """``(question_id, id_a, id_b)``: all overlapping evidence of a question and document with different verdicts, each unordered pair once.
+def conflicting_spans(evidence: DataFrame, width: int = 4096) -> DataFrame:
+    """All overlapping spans of a question and document with different verdicts, once each, and how much evidence stands on either side.
 
-    Equal spans of one verdict are one class. Classes meet in blocks of ``width`` characters and count in the block where their overlap begins;
-    only pairs that conflict are expanded to their members.
+    ``(question_id, document_id, s_a, e_a, v_a, n_a, s_b, e_b, v_b, n_b)``: equal spans of one verdict are one class (a null verdict is -1 and differs from both others), so many rows
+    on one span don't multiply. Classes meet in blocks of ``width`` characters and count in the block where their overlap begins.
     """
-    rows = evidence.filter("question_id is not null and document_id is not null and start_offset < end_offset")
-    # A null verdict differs from both others.
-    rows = rows.select("question_id", "document_id", "evidence_id", F.col("start_offset").alias("s"), F.col("end_offset").alias("e"), F.coalesce(F.col("verified").cast("int"), F.lit(-1)).alias("v"))
     place = ["question_id", "document_id"]
     side = lambda df, n: df.select(*place, *[F.col(c).alias(f"{c}_{n}") for c in df.columns if c not in place])
-    classes = rows.select(*place, "s", "e", "v").distinct()
-    blocks = F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width)))
-    cut = classes.withColumn("block", blocks)
+    classes = _verdicts(evidence).groupBy(*place, "s", "e", "v").agg(F.count("*").alias("n"))
+    cut = classes.withColumn("block", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width))))
     a, b = side(cut, "a").withColumnRenamed("block_a", "block"), side(cut, "b").withColumnRenamed("block_b", "block")
     met = a.join(b, [*place, "block"]).filter((F.col("v_a") < F.col("v_b")) & (F.col("s_a") < F.col("e_b")) & (F.col("s_b") < F.col("e_a")))
-    met = met.filter(F.col("block") == F.floor(F.greatest("s_a", "s_b") / width)).drop("block")
+    return met.filter(F.col("block") == F.floor(F.greatest("s_a", "s_b") / width)).drop("block")
+
+
+def _verdicts(evidence: DataFrame) -> DataFrame:
+    rows = evidence.filter("question_id is not null and document_id is not null and start_offset < end_offset")
+    return rows.select("question_id", "document_id", "evidence_id", F.col("start_offset").alias("s"), F.col("end_offset").alias("e"), F.coalesce(F.col("verified").cast("int"), F.lit(-1)).alias("v"))
+
+
+def conflicting_pairs(evidence: DataFrame, width: int = 4096) -> DataFrame:
+    """``(question_id, id_a, id_b)``: the pairs of evidence behind :func:`conflicting_spans`, each unordered pair once."""
+    rows, met, place = _verdicts(evidence), conflicting_spans(evidence, width).drop("n_a", "n_b"), ["question_id", "document_id"]
     for n in "ab":
-        met = met.join(side(rows, n), [*place, f"s_{n}", f"e_{n}", f"v_{n}"])
+        members = rows.select(*place, *[F.col(c).alias(f"{c}_{n}") for c in ("evidence_id", "s", "e", "v")])
+        met = met.join(members, [*place, f"s_{n}", f"e_{n}", f"v_{n}"])
     return met.select("question_id", F.least("evidence_id_a", "evidence_id_b").alias("id_a"), F.greatest("evidence_id_a", "evidence_id_b").alias("id_b"))

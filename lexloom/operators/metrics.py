@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.operators.intervals import periods_and_gaps
@@ -84,8 +83,9 @@ def largest_remainder(weights: DataFrame, key: str, weight: str, total: int) ->
 
     Everyone gets the whole part, the largest remainders one more; ties go to the smaller key.
     """
-    everything = W.partitionBy()
-    raw = weights.select(key, (F.lit(total) * F.col(weight) / F.sum(weight).over(everything)).alias("raw"))
-    raw = raw.withColumn("whole", F.floor("raw")).withColumn("left", F.lit(total) - F.sum("whole").over(everything))
-    place = F.row_number().over(W.partitionBy().orderBy(F.desc(F.round(F.col("raw") - F.col("whole"), 9)), key))
-    return raw.withColumn("place", place).select(key, (F.col("whole") + F.when(F.col("place") <= F.col("left"), 1).otherwise(0)).cast("long").alias("share"))
+    whole = weights.agg(F.sum(weight)).first()[0]
+    raw = weights.select(key, (F.lit(total) * F.col(weight) / F.lit(whole)).alias("raw")).withColumn("whole", F.floor("raw"))
+    left = total - (raw.agg(F.sum("whole")).first()[0] or 0)
+    # The limit is how many get one more; Spark takes them without sorting all keys in one task.
+    more = raw.orderBy(F.desc(F.round(F.col("raw") - F.col("whole"), 9)), key).limit(max(left, 0)).select(key, F.lit(1).alias("more"))
+    return raw.join(more, key, "left").select(key, (F.col("whole") + F.coalesce("more", F.lit(0))).cast("long").alias("share"))

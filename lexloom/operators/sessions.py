@@ -69,8 +69,15 @@ def stratified(rows: DataFrame, stratum: str, key: str, shares: DataFrame, seed:
 
     Hash order stands in for a shuffled list: reproducible, and without gathering anything.
     """
-    order = W.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary")), key)
-    return rows.join(shares, stratum).withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= F.col("share")).drop("_place", "share")
+    hashed = rows.withColumn("_md5", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary")))
+    # Strata are cut by the first digits of the hash: only the range in which the last row taken lies is sorted, never a whole stratum.
+    cut = hashed.withColumn("_range", F.conv(F.left("_md5", F.lit(4)), 16, 10).cast("int"))
+    before = F.sum("_n").over(W.partitionBy(stratum).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    ranges = cut.groupBy(stratum, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    wanted = ranges.join(shares, stratum).filter(F.col("_before") < F.col("share")).select(stratum, "_range", "_before", "share")
+    place = F.row_number().over(W.partitionBy(stratum, "_range").orderBy("_md5", key)) + F.col("_before")
+    taken = cut.join(wanted, [stratum, "_range"]).withColumn("_place", place).filter(F.col("_place") <= F.col("share"))
+    return taken.select(*rows.columns)
 
 
 def map_sums(df: DataFrame, counts: str) -> DataFrame:

@@ -49,11 +49,12 @@ def slices(spans: DataFrame, documents: DataFrame) -> DataFrame:
     # Crowded blocks are few, at most one per CROWD spans, and written, so that the planner knows how small they are.
     asked = near.select("doc", "block").unionAll(far.select("doc", "block")).groupBy("doc", "block").agg(F.count("*").alias("n"))
     crowded = written(asked.filter(F.col("n") > CROWD).select("doc", "block", F.ceil(F.col("n") / CROWD).cast("int").alias("copies")))
-    if crowded.isEmpty():
-        met = lambda some: some.join(blocks, ["doc", "block"])
-    else:
-        copied = blocks.join(crowded, ["doc", "block"], "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
-        met = lambda some: some.join(crowded, ["doc", "block"], "left").withColumn("copy", F.pmod(F.xxhash64("id"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies").join(copied, ["doc", "block", "copy"])
+    copied = blocks.join(crowded, ["doc", "block"], "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+
+    def met(some: DataFrame) -> DataFrame:
+        some = some.join(crowded, ["doc", "block"], "left").withColumn("copy", F.pmod(F.xxhash64("id"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+        return some.join(copied, ["doc", "block", "copy"])
+
     near = met(near).select(*kept, F.substring("body", at + 1, F.col("end") - F.col("lo")).alias("slice"))
     begin, end = F.greatest(at, F.lit(0)), F.least(F.col("end") - F.col("block") * BLOCK, F.lit(BLOCK))
     far = met(far).select(*kept, F.struct("block", F.substring("body", begin + 1, end - begin).alias("part")).alias("part"))

@@ -28,7 +28,7 @@ def materialize(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def materialize_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Outcomes per session: candidates, evidence made, and rejections by reason."""
+    """How many candidates became evidence, and how many were rejected for which reason."""
     rows = common.evidence(spark, folder, "source_chunk_ids", "relevance_note", "question_id")
     made = ev.materialize(rows.withColumnRenamed("evidence_id", "key"), _chunks(spark, folder), _documents(spark, folder))
     return made.groupBy(F.coalesce("reason", F.lit("evidence")).alias("outcome")).agg(F.count("*").alias("candidates"))
@@ -42,7 +42,7 @@ def verify_reasons(spark: SparkSession, folder: str) -> DataFrame:
 def register_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Each question is a run; evidence arrives in the order of creation."""
     rows = common.evidence(spark, folder, "question_id", "document_id", "start_offset", "end_offset", "created_at").filter("question_id is not null")
-    return ev.register(rows, "question_id", ["created_at", "evidence_id"]).select("evidence_id", "question_id", "number", "first")
+    return ev.register(rows, "question_id", ["created_at", "evidence_id"], F.floor(F.unix_seconds(F.col("created_at").cast("timestamp")) / 3600)).select("evidence_id", "question_id", "number", "first")
 
 
 def citation_audit(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,18 +72,18 @@ def tool_result_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return reads.groupBy("question_id").agg(F.count("*").alias("reads"), F.count(F.when(F.col("again"), 1)).alias("stubs"), F.coalesce(F.sum(F.when(F.col("again"), F.col("size"))), F.lit(0)).alias("spared"))
 
 
+def _judged_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return common.evidence(spark, folder, "question_id", "document_id", "start_offset", "end_offset", "verified")
+
+
 def conflict_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Neighbouring overlapping evidence of a question with different verdicts, each unordered pair once."""
-    rows = common.evidence(spark, folder, "question_id", "document_id", "start_offset", "end_offset", "verified").filter("question_id is not null and document_id is not null and start_offset < end_offset")
-    order = W.partitionBy("question_id", "document_id").orderBy("start_offset", "end_offset", "evidence_id")
-    pairs = rows.select("question_id", "evidence_id", "start_offset", "verified", *[F.lag(c).over(order).alias(f"p_{c}") for c in ("evidence_id", "end_offset", "verified")])
-    pairs = pairs.filter("p_end_offset > start_offset and not (p_verified <=> verified)")
-    return pairs.select("question_id", F.least("evidence_id", "p_evidence_id").alias("id_a"), F.greatest("evidence_id", "p_evidence_id").alias("id_b")).distinct()
+    """All overlapping spans of a question with different verdicts, once each, with the number of rows on either side."""
+    return ev.conflicting_spans(_judged_spans(spark, folder))
 
 
 def conflict_pairs_all(spark: SparkSession, folder: str) -> DataFrame:
-    """All overlapping evidence of a question with different verdicts; :func:`conflict_pairs` and its SQL see neighbours only."""
-    return ev.conflicting_pairs(common.evidence(spark, folder, "question_id", "document_id", "start_offset", "end_offset", "verified"))
+    """All overlapping evidence of a question with different verdicts, by id."""
+    return ev.conflicting_pairs(_judged_spans(spark, folder))
 
 
 def effective_new_evidence(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,13 +123,13 @@ def span_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sections(spark: SparkSession, folder: str) -> DataFrame:
-    """Every third chunk's span as gold, as the SQL has it; :func:`_cited` leaves no chunk out by its number."""
+    """The spans of all chunks as gold."""
     lo, hi = common.span()
-    return common.chunks(spark, folder, "doc_id", "charspan", "chunk_index").filter(F.col("chunk_index") % 3 == 0).select(F.col("doc_id").alias("entity"), lo.alias("start"), hi.alias("end")).filter("start < end")
+    return common.chunks(spark, folder, "doc_id", "charspan").select(F.col("doc_id").alias("entity"), lo.alias("start"), hi.alias("end")).filter("start < end")
 
 
 def span_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Verified evidence against every third chunk of each document."""
+    """Verified evidence against all chunks of each document."""
     return metrics.span_scores(_verified(spark, folder, True), _sections(spark, folder))
 
 
@@ -243,9 +243,9 @@ count(DISTINCT CASE WHEN verified THEN (document_id, start_offset, end_offset) E
     "tool_result_dedup": f"""WITH {SQL_C}, {SQL_E}, r AS (SELECT question_id, created_at, evidence_id, unnest(source_chunk_ids) AS id, generate_subscripts(source_chunk_ids, 1) AS pos FROM e WHERE question_id IS NOT NULL),
 n AS (SELECT *, row_number() OVER (PARTITION BY question_id, id ORDER BY created_at, evidence_id, pos) > 1 AS again FROM r)
 SELECT question_id, count(*) AS reads, count(*) FILTER (again) AS stubs, CAST(coalesce(sum(length(text)) FILTER (again), 0) AS BIGINT) AS spared FROM n LEFT JOIN c USING (id) GROUP BY question_id""",
-    "conflict_pairs": f"""WITH {SQL_E}, o AS (SELECT question_id, evidence_id, start_offset, verified, lag(evidence_id) OVER w AS pe, lag(end_offset) OVER w AS pt, lag(verified) OVER w AS pv FROM e
-WHERE question_id IS NOT NULL AND document_id IS NOT NULL AND start_offset < end_offset WINDOW w AS (PARTITION BY question_id, document_id ORDER BY start_offset, end_offset, evidence_id))
-SELECT DISTINCT question_id, least(evidence_id, pe) AS id_a, greatest(evidence_id, pe) AS id_b FROM o WHERE pt > start_offset AND pv IS DISTINCT FROM verified""",
+    "conflict_pairs": f"""WITH {SQL_E}, o AS (SELECT question_id, document_id, start_offset AS s, end_offset AS e, coalesce(CAST(verified AS INT), -1) AS v, count(*) AS n FROM e
+WHERE question_id IS NOT NULL AND document_id IS NOT NULL AND start_offset < end_offset GROUP BY ALL)
+SELECT question_id, document_id, a.s AS s_a, a.e AS e_a, a.v AS v_a, a.n AS n_a, b.s AS s_b, b.e AS e_b, b.v AS v_b, b.n AS n_b FROM o a JOIN o b USING (question_id, document_id) WHERE a.v < b.v AND a.s < b.e AND b.s < a.e""",
     "conflict_pairs_all": f"""WITH {SQL_E}, o AS (SELECT * FROM e WHERE question_id IS NOT NULL AND document_id IS NOT NULL AND start_offset < end_offset)
 SELECT a.question_id, a.evidence_id AS id_a, b.evidence_id AS id_b FROM o a JOIN o b ON a.question_id = b.question_id AND a.document_id = b.document_id AND a.evidence_id < b.evidence_id
 AND a.start_offset < b.end_offset AND b.start_offset < a.end_offset AND a.verified IS DISTINCT FROM b.verified""",
@@ -266,7 +266,7 @@ MERGED = """{n}m AS (SELECT *, max(t) OVER (PARTITION BY d ORDER BY s, t ROWS BE
 {n}g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY d ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS k FROM {n}m), {n}u AS (SELECT d, min(s) AS s, max(t) AS t FROM {n}g GROUP BY d, k)"""
 ALL_SPANS = "a AS (SELECT DISTINCT document_id AS d, start_offset AS s, end_offset AS t FROM e WHERE document_id IS NOT NULL AND start_offset < end_offset)"
 OK_SPANS = "b AS (SELECT DISTINCT document_id AS d, start_offset AS s, end_offset AS t FROM e WHERE document_id IS NOT NULL AND start_offset < end_offset AND verified)"
-GOLD = "g AS (SELECT DISTINCT doc_id AS d, charspan[1] AS s, charspan[2] AS t FROM c WHERE chunk_index % 3 = 0 AND charspan[1] < charspan[2])"
+GOLD = "g AS (SELECT DISTINCT doc_id AS d, charspan[1] AS s, charspan[2] AS t FROM c WHERE charspan[1] < charspan[2])"
 ORACLE["span_overlap"] = f"""WITH {SQL_E}, {ALL_SPANS}, {OK_SPANS}, {MERGED.format(n='a')}, {MERGED.format(n='b')}, al AS (SELECT d, sum(t - s) AS n FROM au GROUP BY d), bl AS (SELECT d, sum(t - s) AS n FROM bu GROUP BY d),
 o AS (SELECT d, sum(least(au.t, bu.t) - greatest(au.s, bu.s)) AS n FROM au JOIN bu USING (d) WHERE least(au.t, bu.t) > greatest(au.s, bu.s) GROUP BY d)
 SELECT d AS document_id, CAST(coalesce(al.n, 0) AS BIGINT) AS a_length, CAST(coalesce(bl.n, 0) AS BIGINT) AS b_length, CAST(coalesce(o.n, 0) AS BIGINT) AS overlap FROM al FULL OUTER JOIN bl USING (d) LEFT JOIN o USING (d)"""
