@@ -32,31 +32,43 @@ def session(master: str = "local[8]", app: str = "lexloom", **conf: str) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    Named by the cluster in ``spark.checkpoint.dir``. Only where that is unset, as in local tests,
-    a temporary folder is used.
+    Named by the cluster in ``spark.checkpoint.dir``. Where that is unset, a temporary folder is used on a local master, as in tests;
+    on several machines that is an error, since data in such a folder would be lost.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lexloom-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/written/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result no longer depends on the plan that made it, so it survives the loss of executors,
-    and is columnar and compressed, unlike a checkpointed RDD.
+    and is columnar and compressed, unlike a checkpointed RDD. See :func:`discard_written`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/written/{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_written(spark: SparkSession) -> None:
+    """Delete all that :func:`written` wrote for this application. Results not yet stored elsewhere that depend on it are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the Python workers, once per application, so that executors need no installation."""
     context = spark.sparkContext
