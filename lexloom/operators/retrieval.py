@@ -117,7 +117,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, scope: Column |
                     own = query[at]
                     some = (own >= low) & (own < high)
                     cell = (own[some] - low) * n + np.repeat(chunk, each)[some]
-                    sums = np.round(np.bincount(cell, np.repeat(part, each)[some], minlength=(high - low) * n).reshape(high - low, n), 6)
+                    sums = np.round(np.bincount(cell, np.repeat(part, each)[some], minlength=(high - low) * n).astype(np.float64).reshape(high - low, n), 6)
                     hit = np.bincount(cell, minlength=(high - low) * n).reshape(high - low, n) > 0
                     sums[~hit] = -np.inf
                     take = min(k, n)
