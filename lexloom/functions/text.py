@@ -6,6 +6,8 @@ disagree on what a blank or a word character is.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,11 +17,14 @@ CJK = "\u3400-\u4dbf\u4e00-\u9fff"
 BLANK = "\\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Marks after which a sentence ends; the full stop is none, as it also ends abbreviations and numbers.
 TERMINATORS = "。！？!?；;\\n"
-#: Full-width forms and what they fold to.
-WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
-NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
-
-#: Tokens of text without CJK, the narrow forms first: amounts, thousands, percentages, clause numbers with at most one letter, words.
+#: Compatibility forms and what they fold to, by rule: characters of the basic plane whose NFKC form is another single character, and, of those with a
+#: longer form, ellipses, the numero and trade mark signs, Roman numerals and Latin ligatures.
+_NFKC = {c: unicodedata.normalize("NFKC", chr(c)) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000}
+WIDE = "".join(chr(c) for c, form in _NFKC.items() if len(form) == 1 and form != chr(c))
+NARROW = "".join(_NFKC[ord(c)] for c in WIDE)
+LONGER = {chr(c): _NFKC[c] for low, high in ((0x2025, 0x2027), (0x2116, 0x2117), (0x2122, 0x2123), (0x2160, 0x2180), (0xFB00, 0xFB07)) for c in range(low, high) if len(_NFKC[c]) > 1}
+
+#: Fixed values, as are the heading patterns below. Tokens of text without CJK, the narrow forms first: amounts, thousands, percentages, clause numbers with at most one letter, words.
 TOKEN = (
     "[$€£][0-9,]+(?:\\.[0-9]+)?[kmb]?"
     "|[0-9]+(?:,[0-9]{3})+(?:\\.[0-9]+)?"
@@ -28,6 +33,16 @@ TOKEN = (
     f"|[{CJK}]+"
     "|[\\p{L}\\p{N}_]+"
 )
+#: What a heading begins with, by level, and what no heading ends with.
+CHAPTER = "^第[一二三四五六七八九十百千万0-9０-９]+[条章节款]"
+NUMBERED = f"^([0-9]+(?:\\.[0-9]+)*)(?:[、.){BLANK}]|$)"
+ROMAN, ROMAN_FORM = "^[IVXLCDM]{1,8}[.):、]", "^M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})[.):、]"
+LETTERED = "^[A-Za-z][.):、]"
+BRACKETED = "^[（(]([0-9]{1,3}|[A-Za-z]|[一二三四五六七八九十百]{1,4})[）)]|^[一二三四五六七八九十]{1,4}、"
+SENTENCE_END = "[。！？；.!?;]$"
+NAMED = "(?i)^(article|section|clause|exhibit|schedule|appendix|annex|attachment|part|title|item|recital)([^\\p{L}\\p{N}_]|$)"
+#: Labels in the order they are looked for, and the words that stand for each.
+LABELS = {"entailment": "entailment|entailed|entailing|entails", "contradiction": "contradiction|contradictory|contradicts|contradicting|contradicted", "neutral": "neutral"}
 SNIPPET = 200
 
 
@@ -44,11 +59,13 @@ def sentences(text: Column) -> Column:
 
 
 def search_tokens(text: Column) -> Column:
-    """Search tokens in order, repeats included: lower case, full-width forms folded, digits kept.
+    """Search tokens in order, repeats included: lower case, compatibility forms folded, digits kept.
 
     Runs of CJK characters become their overlapping pairs (a single character stays), in place of a segmenter's
     dictionary words. Tokens of underscores alone are dropped; null gives null.
     """
+    for char, form in LONGER.items():
+        text = F.replace(text, F.lit(char), F.lit(form))
     folded = F.lower(F.translate(text, WIDE, NARROW))
     raw = F.regexp_extract_all(F.regexp_replace(folded, f"([{CJK}]+)", " $1 "), F.lit(TOKEN), F.lit(0))
     pairs = lambda run: F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2)))
@@ -72,21 +89,21 @@ def heading_level(line: Column) -> Column:
     numbers have as many levels as parts, roman numbers and letters are 2, bracketed and CJK list marks 3.
     """
     t = F.regexp_replace(line, f"^[{BLANK}]+|[{BLANK}]+$", "")
-    number = F.regexp_extract(t, f"^([0-9]+(?:\\.[0-9]+)*)(?:[、.){BLANK}]|$)", 1)
-    roman = t.rlike("^[IVXLCDM]{1,8}[.):、]") & t.rlike("^M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})[.):、]")
+    number = F.regexp_extract(t, NUMBERED, 1)
+    roman = t.rlike(ROMAN) & t.rlike(ROMAN_FORM)
     level = (
-        F.when(t.rlike("^第[一二三四五六七八九十百千万0-9０-９]+[条章节款]"), 1)
+        F.when(t.rlike(CHAPTER), 1)
         .when(number != "", F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1)
-        .when(roman | t.rlike("^[A-Za-z][.):、]"), 2)
-        .when(t.rlike("^[（(]([0-9]{1,3}|[A-Za-z]|[一二三四五六七八九十百]{1,4})[）)]|^[一二三四五六七八九十]{1,4}、"), 3)
+        .when(roman | t.rlike(LETTERED), 2)
+        .when(t.rlike(BRACKETED), 3)
     )
-    return F.when((F.length(t) <= 60) & ~t.rlike("[。！？；.!?;]$"), level)
+    return F.when((F.length(t) <= 60) & ~t.rlike(SENTENCE_END), level)
 
 
 def raw_heading_level(line: Column) -> Column:
     """:func:`heading_level`, or 1 for lines that begin like an English legal heading or are short and nearly all capitals."""
     t = F.regexp_replace(line, f"^[{BLANK}]+|[{BLANK}]+$", "")
-    named = t.rlike("(?i)^(article|section|clause|exhibit|schedule|appendix|annex|attachment|part|title|item|recital)([^\\p{L}\\p{N}_]|$)")
+    named = t.rlike(NAMED)
     letters, capitals = F.regexp_count(t, F.lit("\\p{L}")), F.regexp_count(t, F.lit("\\p{Lu}"))
     shouted = (letters > 0) & (F.length(t) <= 60) & (capitals / F.nullif(letters, F.lit(0)) >= 0.8) & ~t.endswith(".")
     return F.coalesce(heading_level(line), F.when((t != "") & (F.length(t) <= 80) & (named | shouted), 1))
@@ -112,10 +129,7 @@ def chunk_key_parts(key: Column) -> tuple[Column, Column]:
 
 
 def normal_label(text: Column) -> Column:
-    """A judgement word in free text, by first match: entailment, contradiction, neutral."""
+    """The label that free text names: the first of ``LABELS`` that occurs as a word, else the first that has a word standing for it; null without any."""
     t = F.lower(text)
-    return (
-        F.when(t.rlike("(^|[^a-z])(entail(s|ed|ment)?|supported|true)([^a-z]|$)"), "entailment")
-        .when(t.rlike("(^|[^a-z])(contradict(s|ed|ion|ory)?|refuted|false)([^a-z]|$)"), "contradiction")
-        .when(t.rlike("(^|[^a-z])(neutral|not[ _]?mentioned|unknown|insufficient)([^a-z]|$)"), "neutral")
-    )
+    named = F.coalesce(*[F.when(t.rlike(f"(^|[^\\p{{L}}\\p{{N}}_]){label}([^\\p{{L}}\\p{{N}}_]|$)"), label) for label in LABELS])
+    return F.coalesce(named, *[F.when(t.rlike(f"(^|[^a-z])({words})([^a-z]|$)"), label) for label, words in LABELS.items()])

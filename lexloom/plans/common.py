@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.functions import text as tx
 from lexloom.sources.tables import once, table
 
 
@@ -29,16 +30,18 @@ def span() -> tuple[F.Column, F.Column]:
 SQL_C = "c AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at) = 1)"
 SQL_P = "p AS (SELECT * FROM parsed_document QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ingested_at) = 1)"
 SQL_E = "e AS (SELECT * FROM evidence QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY ingested_at) = 1)"
-CJK = "\u3400-\u4dbf\u4e00-\u9fff"
-BLANK = "\\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+CJK, BLANK = tx.CJK, tx.BLANK
+
+
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
 
 
 def sql_tokens(text: str) -> str:
     """Search tokens of a text in SQL."""
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
-    narrow = ("".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " ").replace("'", "''")
-    pattern = f"[$€£][0-9,]+(?:\\.[0-9]+)?[kmb]?|[0-9]+(?:,[0-9]{{3}})+(?:\\.[0-9]+)?|[0-9]+(?:\\.[0-9]+)?%|[0-9]+(?:\\.[0-9]+)*[a-z]?|[{CJK}]+|[\\p{{L}}\\p{{N}}_]+"
-    raw = f"regexp_extract_all(regexp_replace(lower(translate({text}, '{wide}', '{narrow}')), '([{CJK}]+)', ' \\1 ', 'g'), '{pattern}')"
+    for char, form in tx.LONGER.items():
+        text = f"replace({text}, '{char}', '{form}')"
+    raw = f"regexp_extract_all(regexp_replace(lower(translate({text}, '{_quoted(tx.WIDE)}', '{_quoted(tx.NARROW)}')), '([{CJK}]+)', ' \\1 ', 'g'), '{tx.TOKEN}')"
     pairs = "list_transform(range(1, greatest(length(t) - 1, 1) + 1), lambda i: substring(t, i, 2))"
     return f"flatten(list_transform(list_filter({raw}, lambda t: NOT regexp_matches(t, '^_+$')), lambda t: CASE WHEN regexp_matches(t, '^[{CJK}]') THEN {pairs} ELSE [t] END))"
 
@@ -46,3 +49,10 @@ def sql_tokens(text: str) -> str:
 def sql_estimate(text: str) -> str:
     """Estimated tokens of a text in SQL."""
     return f"CAST(floor(0.6::DOUBLE * len(regexp_extract_all({text}, '[{CJK}]')) + len(regexp_extract_all(regexp_replace({text}, '[{CJK}]', ' ', 'g'), '[^{BLANK}]+'))) AS BIGINT)"
+
+
+def sql_label(text: str) -> str:
+    """The label that a lower-cased text names, in SQL."""
+    cases = [f"WHEN regexp_matches({text}, '(^|[^\\p{{L}}\\p{{N}}_]){label}([^\\p{{L}}\\p{{N}}_]|$)') THEN '{label}'" for label in tx.LABELS]
+    cases += [f"WHEN regexp_matches({text}, '(^|[^a-z])({words})([^a-z]|$)') THEN '{label}'" for label, words in tx.LABELS.items()]
+    return f"CASE {' '.join(cases)} END"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from lexloom.operators import blocks, chunking, metrics, sessions, storage
 from lexloom.plans import common
 from lexloom.plans.common import SQL_C, SQL_E, SQL_P
 from lexloom.plans.text import LEVEL
+from lexloom.session import shared_dir
 from lexloom.sources.tables import table
 
 
@@ -66,10 +69,9 @@ def upsert_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def replaced_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks of the shared session cut anew by size, those of other documents kept."""
-    stored = common.chunks(spark, folder, "doc_id", "chunk_index", "session_id")
-    documents = common.documents(spark, folder, "full_text", "session_id").filter("session_id = 'ws-shared-review'")
-    new = chunking.fixed_chunks(documents.select("doc_id", "full_text"), most=2000).select(F.concat_ws(":", "doc_id", "n").alias("id"), "doc_id", F.col("n").alias("chunk_index"))
+    """All delivered documents cut anew by size; chunks of documents that were not delivered are kept."""
+    stored = common.chunks(spark, folder, "doc_id", "chunk_index")
+    new = chunking.fixed_chunks(_documents(spark, folder), most=2000).select(F.concat_ws(":", "doc_id", "n").alias("id"), "doc_id", F.col("n").alias("chunk_index"))
     return storage.replace_children(stored.select("id", "doc_id", "chunk_index"), new, "doc_id")
 
 
@@ -81,16 +83,18 @@ def assigned_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def restored_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts of one format emptied and restored from an export."""
-    rows = common.documents(spark, folder, "full_text", "source_format")
-    emptied = rows.withColumn("full_text", F.when(F.col("source_format") == "txt", F.lit("")).otherwise(F.col("full_text")))
-    restored = storage.restore_texts(emptied, rows.select("doc_id", "full_text"))
+    """All texts emptied and restored from their JSON export."""
+    rows = common.documents(spark, folder, "full_text")
+    path = f"{shared_dir(spark)}/exports/{uuid.uuid4().hex}"
+    storage.export_documents(rows, path)
+    exported = spark.read.schema("doc_id string, full_text string").json(path)
+    restored = storage.restore_texts(rows.withColumn("full_text", F.lit("")), exported)
     return restored.select("doc_id", F.md5(F.col("full_text").cast("binary")).alias("digest"))
 
 
 def pending_backfill(spark: SparkSession, folder: str) -> DataFrame:
-    """Search tokens of the chunks of the shared session, which have none yet."""
-    rows = common.chunks(spark, folder, "text", "session_id").withColumn("search_tokens", F.when(F.col("session_id") == "ws-shared-review", F.lit("")).otherwise(F.lit("x")))
+    """Search tokens of all chunks, which have none yet."""
+    rows = common.chunks(spark, folder, "text").withColumn("search_tokens", F.lit(None).cast("string"))
     return storage.pending_tokens(rows).select("id", F.md5(F.col("search_tokens").cast("binary")).alias("digest"))
 
 
@@ -163,9 +167,10 @@ def resume_pending(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def normal_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels read from the notes of evidence."""
-    rows = common.evidence(spark, folder, "relevance_note")
-    return rows.groupBy(F.coalesce(tx.normal_label(F.col("relevance_note")), F.lit("(none)")).alias("label")).agg(F.count("*").alias("n"))
+    """Labels read from free answers: each item's own label within a sentence, and its query, which names none."""
+    items = table(spark, folder, "test_item").select("item_id", "query", F.coalesce("label", F.lit("")).alias("label"))
+    answer = F.concat(F.lit("The answer is "), F.upper("label"), F.lit(", as "), "query")
+    return items.select("item_id", tx.normal_label(answer).alias("label"), tx.normal_label(F.col("query")).alias("in_query"))
 
 
 def section_layers(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,7 +201,7 @@ WHERE NOT coalesce(charspan[1] >= 0 AND charspan[1] < charspan[2] AND charspan[2
 SELECT doc_id, CASE WHEN m > 1 THEN 'late ' || coalesce(title, '') ELSE title END AS title, source_format, length(full_text) AS size FROM n WHERE k = m""",
     "assigned_sessions": f"WITH {SQL_P} SELECT CASE WHEN coalesce(session_id, '') = '' THEN 'ws-inbox' ELSE session_id END AS session_id, count(*) AS documents FROM p GROUP BY 1",
     "restored_texts": f"WITH {SQL_P} SELECT doc_id, md5(full_text) AS digest FROM p",
-    "pending_backfill": f"WITH {SQL_C} SELECT id, md5(coalesce(array_to_string({common.sql_tokens('text')}, ' '), '')) AS digest FROM c WHERE session_id = 'ws-shared-review'",
+    "pending_backfill": f"WITH {SQL_C} SELECT id, md5(coalesce(array_to_string({common.sql_tokens('text')}, ' '), '')) AS digest FROM c",
     "turn_counter": f"SELECT event_id, user_id, row_number() OVER ({EVENT_ORDER}) AS turn FROM events",
     "retrieval_budget": f"""WITH s AS (SELECT *, event_type = 'click' AND sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER ({EVENT_ORDER}) > 3 AS blocked FROM events)
 SELECT user_id, count(*) AS rows, count(*) FILTER (blocked) AS blocked FROM s GROUP BY user_id""",
@@ -215,8 +220,7 @@ SELECT metric, a, b, round(b - a, 6) AS delta FROM a FULL OUTER JOIN b USING (me
 w AS (SELECT source_format, floor(raw) + CASE WHEN row_number() OVER (ORDER BY round(raw - floor(raw), 9) DESC, source_format) <= 500 - sum(floor(raw)) OVER () THEN 1 ELSE 0 END AS share FROM r)
 SELECT id, source_format FROM f JOIN w USING (source_format) QUALIFY row_number() OVER (PARTITION BY source_format ORDER BY md5('0' || id), id) <= share""",
     "resume_pending": f"WITH {SQL_E} SELECT question_id FROM e WHERE question_id IS NOT NULL GROUP BY question_id HAVING count(*) FILTER (verified) = 0",
-    "normal_labels": f"""WITH {SQL_E}, n AS (SELECT lower(relevance_note) AS t FROM e) SELECT CASE WHEN regexp_matches(t, '(^|[^a-z])(entail(s|ed|ment)?|supported|true)([^a-z]|$)') THEN 'entailment'
-WHEN regexp_matches(t, '(^|[^a-z])(contradict(s|ed|ion|ory)?|refuted|false)([^a-z]|$)') THEN 'contradiction' WHEN regexp_matches(t, '(^|[^a-z])(neutral|not[ _]?mentioned|unknown|insufficient)([^a-z]|$)') THEN 'neutral' ELSE '(none)' END AS label, count(*) AS n FROM n GROUP BY 1""",
+    "normal_labels": f"SELECT item_id, {common.sql_label("lower('The answer is ' || upper(coalesce(label, '')) || ', as ' || query)")} AS label, {common.sql_label('lower(query)')} AS in_query FROM test_item",
     "section_layers": f"""WITH {SQL_C}, s AS (SELECT DISTINCT doc_id, section_path AS sp FROM c WHERE len(section_path) > 0), n AS (SELECT doc_id, sp, unnest(range(0, len(sp) + 1)) AS k FROM s)
 SELECT DISTINCT doc_id || ' / ' || array_to_string(sp[1:k], ' > ') AS node, CAST(k AS INT) AS layer FROM n""",
 }

@@ -65,7 +65,7 @@ def title_inference(spark: SparkSession, folder: str) -> DataFrame:
     """Title from the text: the first line if it is short and no sentence, else the first heading, else the file name."""
     rows = lines(common.documents(spark, folder, "full_text", "file_path"), "doc_id", "full_text").withColumn("line", F.regexp_replace("line", f"^[{BLANK}]+|[{BLANK}]+$", "")).filter("line != ''")
     first = rows.groupBy("doc_id").agg(F.min_by("line", "line_no").alias("first"), F.min_by(F.when(tx.heading_level(F.col("line")).isNotNull(), F.col("line")), F.when(tx.heading_level(F.col("line")).isNotNull(), F.col("line_no"))).alias("heading"))
-    short = F.when((F.length("first") <= 30) & ~F.col("first").rlike("[。！？；.!?;]$"), F.col("first"))
+    short = F.when((F.length("first") <= 30) & ~F.col("first").rlike(tx.SENTENCE_END), F.col("first"))
     named = common.documents(spark, folder, "file_path").join(first, "doc_id", "left")
     return named.select("doc_id", F.coalesce(short, "heading", F.substring_index("file_path", "/", -1)).alias("title"))
 
@@ -78,16 +78,15 @@ def embedding_input(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (token_estimate, sentence_spans, sentence_stats, search_tokens, term_frequencies, head_snippet, document_keys, chunk_keys, line_offsets, heading_levels, title_inference, embedding_input)}
 
-TERMS = "。！？!?；;\\n"
-SENTENCES = f"[^{TERMS}]*[{TERMS}][{BLANK}]*|[^{TERMS}]+$"
+SENTENCES = f"[^{tx.TERMINATORS}]*[{tx.TERMINATORS}][{BLANK}]*|[^{tx.TERMINATORS}]+$"
 STRIPPED = f"regexp_replace(line, '^[{BLANK}]+|[{BLANK}]+$', '', 'g')"
 SQL_LINES = """parts AS (SELECT doc_id, string_split(regexp_replace(full_text, '\\n$', ''), chr(10)) AS ls FROM p WHERE length(full_text) > 0),
 numbered AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM parts)"""
-LEVEL = f"""CASE WHEN length(t) <= 60 AND NOT regexp_matches(t, '[。！？；.!?;]$') THEN CASE
-  WHEN regexp_matches(t, '^第[一二三四五六七八九十百千万0-9０-９]+[条章节款]') THEN 1
-  WHEN regexp_extract(t, '^([0-9]+(?:\\.[0-9]+)*)(?:[、.){BLANK}]|$)', 1) <> '' THEN length(regexp_replace(regexp_extract(t, '^([0-9]+(?:\\.[0-9]+)*)(?:[、.){BLANK}]|$)', 1), '[^.]', '', 'g')) + 1
-  WHEN (regexp_matches(t, '^[IVXLCDM]{{1,8}}[.):、]') AND regexp_matches(t, '^M{{0,3}}(CM|CD|D?C{{0,3}})(XC|XL|L?X{{0,3}})(IX|IV|V?I{{0,3}})[.):、]')) OR regexp_matches(t, '^[A-Za-z][.):、]') THEN 2
-  WHEN regexp_matches(t, '^[（(]([0-9]{{1,3}}|[A-Za-z]|[一二三四五六七八九十百]{{1,4}})[）)]|^[一二三四五六七八九十]{{1,4}}、') THEN 3 END END"""
+LEVEL = f"""CASE WHEN length(t) <= 60 AND NOT regexp_matches(t, '{tx.SENTENCE_END}') THEN CASE
+  WHEN regexp_matches(t, '{tx.CHAPTER}') THEN 1
+  WHEN regexp_extract(t, '{tx.NUMBERED}', 1) <> '' THEN length(regexp_replace(regexp_extract(t, '{tx.NUMBERED}', 1), '[^.]', '', 'g')) + 1
+  WHEN (regexp_matches(t, '{tx.ROMAN}') AND regexp_matches(t, '{tx.ROMAN_FORM}')) OR regexp_matches(t, '{tx.LETTERED}') THEN 2
+  WHEN regexp_matches(t, '{tx.BRACKETED}') THEN 3 END END"""
 
 ORACLE = {
     "token_estimate": f"SELECT doc_id, {common.sql_estimate('text')} AS tokens FROM documents",
@@ -105,12 +104,12 @@ SELECT doc_id, len(sizes) AS sentences, coalesce(list_max(sizes), 0) AS longest
     "line_offsets": f"""WITH {SQL_P}, {SQL_LINES}, ended AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS e FROM numbered)
 SELECT doc_id, line_no, CAST(e - length(line) AS BIGINT) AS start_offset, CAST(e AS BIGINT) AS end_offset FROM ended""",
     "heading_levels": f"""WITH {SQL_P}, {SQL_LINES}, cut AS (SELECT doc_id, line_no, {STRIPPED} AS t FROM numbered), leveled AS (SELECT *, {LEVEL} AS level FROM cut)
-SELECT doc_id, line_no, level, coalesce(level, CASE WHEN t <> '' AND length(t) <= 80 AND (regexp_matches(t, '(?i)^(article|section|clause|exhibit|schedule|appendix|annex|attachment|part|title|item|recital)([^\\p{{L}}\\p{{N}}_]|$)')
+SELECT doc_id, line_no, level, coalesce(level, CASE WHEN t <> '' AND length(t) <= 80 AND (regexp_matches(t, '{tx.NAMED}')
   OR (length(t) <= 60 AND len(regexp_extract_all(t, '\\p{{L}}')) > 0 AND len(regexp_extract_all(t, '\\p{{Lu}}')) / len(regexp_extract_all(t, '\\p{{L}}')) >= 0.8 AND NOT ends_with(t, '.'))) THEN 1 END) AS raw_level
 FROM leveled WHERE raw_level IS NOT NULL""",
     "title_inference": f"""WITH {SQL_P}, {SQL_LINES}, cut AS (SELECT doc_id, line_no, {STRIPPED} AS t FROM numbered), leveled AS (SELECT *, {LEVEL} AS level FROM cut WHERE t <> ''),
 firsts AS (SELECT doc_id, arg_min(t, line_no) AS f, arg_min(t, line_no) FILTER (level IS NOT NULL) AS h FROM leveled GROUP BY doc_id)
-SELECT p.doc_id, coalesce(CASE WHEN length(f) <= 30 AND NOT regexp_matches(f, '[。！？；.!?;]$') THEN f END, h, regexp_extract(file_path, '[^/]*$')) AS title FROM p LEFT JOIN firsts USING (doc_id)""",
+SELECT p.doc_id, coalesce(CASE WHEN length(f) <= 30 AND NOT regexp_matches(f, '{tx.SENTENCE_END}') THEN f END, h, regexp_extract(file_path, '[^/]*$')) AS title FROM p LEFT JOIN firsts USING (doc_id)""",
     "embedding_input": f"""WITH {SQL_C}, trails AS (SELECT id, text, nullif(trim(doc_title), '') AS t, nullif(array_to_string(list_filter(coalesce(section_path, []), lambda s: s IS NOT NULL AND s <> ''), ' > '), '') AS trail FROM c),
 heads AS (SELECT id, text, left(concat_ws(' | ', t, trail), 400) AS head FROM trails), made AS (SELECT id, CASE WHEN head <> '' THEN head || chr(10) || text ELSE text END AS m FROM heads)
 SELECT id, length(m) AS size, md5(m) AS digest FROM made""",
