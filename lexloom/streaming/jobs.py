@@ -9,6 +9,9 @@ from pyspark.sql.types import StructType
 from lexloom.functions import text as tx
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path)
 
@@ -18,42 +21,37 @@ def _finish(writer, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def _stored(spark: SparkSession, schema: StructType | str, out: str, *numbers: int) -> DataFrame:
-    """Rows of all batches in ``out``, or of those numbered."""
-    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-    return rows.parquet(*[f"{out}/batch={n}" for n in numbers] or [out])
+def _stored(spark: SparkSession, schema: StructType | str, out: str) -> DataFrame:
+    """Rows of all batches in ``out``."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(out)
 
 
 def _append_new(rows: DataFrame, keys: list[str], out: str, checkpoint: str) -> None:
-    """The rows whose keys no earlier batch has stored, however late they come.
+    """The rows whose keys no earlier batch had, however late they come.
 
-    Every batch goes to a folder of its own, so a batch that is run again after a failure replaces itself.
+    Keys seen are kept as state, partitioned by key and on the executors' disks, so a batch costs what it brings and not what came before. There is no watermark: no key
+    is ever forgotten and no row is too late.
     """
-
-    def take(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates(keys)
-        if number:
-            known = _stored(batch.sparkSession, batch.select(keys).schema, out, *range(number))
-            # The stored keys may be null, as those that arrive.
-            known = known.select([F.col(k).alias(f"_{k}") for k in keys])
-            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-            new = new.join(known, same, "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    _finish(rows.writeStream.foreachBatch(take), checkpoint)
+    conf = rows.sparkSession.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        _finish(rows.dropDuplicates(keys).writeStream.format("parquet").option("path", out), checkpoint)
+    finally:
+        conf.set(PROVIDER, before) if before else conf.unset(PROVIDER)
 
 
 def ingest(spark: SparkSession, path: str, schema: StructType, key: str, out: str, checkpoint: str) -> DataFrame:
     """Rows of new files whose key isn't stored yet, appended to ``out``; a key delivered again, now or later, changes nothing."""
     _append_new(_read(spark, path, schema), [key], out, checkpoint)
-    return _stored(spark, schema, out)
+    return spark.read.schema(schema).parquet(out)
 
 
 def backfill_tokens(spark: SparkSession, path: str, schema: StructType, out: str, checkpoint: str) -> DataFrame:
     """``(id, search_tokens)`` of every new chunk, once."""
-    rows = _read(spark, path, schema).withWatermark("ingested_at", "365 days").dropDuplicates(["id"])
-    made = rows.select("id", F.array_join(tx.search_tokens(F.col("text")), " ").alias("search_tokens"))
-    _finish(made.writeStream.format("parquet").option("path", out), checkpoint)
+    # The texts are tokenised before they are compared by id, so the state holds tokens and no texts.
+    made = _read(spark, path, schema).select("id", F.array_join(tx.search_tokens(F.col("text")), " ").alias("search_tokens"))
+    _append_new(made, ["id"], out, checkpoint)
     return spark.read.schema("id string, search_tokens string").parquet(out)
 
 
@@ -62,7 +60,7 @@ def register_spans(spark: SparkSession, path: str, schema: StructType, out: str,
     span = ["document_id", "start_offset", "end_offset"]
     rows = _read(spark, path, schema).filter("document_id is not null and start_offset is not null and end_offset is not null")
     _append_new(rows.select(span), span, out, checkpoint)
-    return _stored(spark, "document_id string, start_offset int, end_offset int", out)
+    return spark.read.schema("document_id string, start_offset int, end_offset int").parquet(out)
 
 
 def windowed_counts(spark: SparkSession, path: str, schema: StructType, out: str, checkpoint: str, width: str = "1 hour") -> DataFrame:
