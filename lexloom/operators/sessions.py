@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexloom.operators.metrics import largest_remainder
 from lexloom.session import written
 
 
@@ -80,6 +81,13 @@ def stratified(rows: DataFrame, stratum: str, key: str, shares: DataFrame, seed:
     return taken.select(*rows.columns)
 
 
+def subsample(rows: DataFrame, stratum: str, key: str, ratio: float, seed: str = "0") -> DataFrame:
+    """The share ``ratio`` of the rows, at least one, spread over the strata in proportion; see :func:`stratified`."""
+    sizes = rows.groupBy(stratum).agg(F.count("*").alias("n"))
+    total = max(1, round((sizes.agg(F.sum("n")).first()[0] or 0) * ratio))
+    return stratified(rows, stratum, key, largest_remainder(sizes, stratum, "n", total), seed)
+
+
 def map_sums(df: DataFrame, counts: str) -> DataFrame:
     """``(reason, n)``: the sums of a map column of counts, entries that are no numbers left out."""
     entries = df.select(F.explode(counts).alias("reason", "value"))

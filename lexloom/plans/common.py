@@ -56,3 +56,10 @@ def sql_label(text: str) -> str:
     cases = [f"WHEN regexp_matches({text}, '(^|[^\\p{{L}}\\p{{N}}_]){label}([^\\p{{L}}\\p{{N}}_]|$)') THEN '{label}'" for label in tx.LABELS]
     cases += [f"WHEN regexp_matches({text}, '(^|[^a-z])({words})([^a-z]|$)') THEN '{label}'" for label, words in tx.LABELS.items()]
     return f"CASE {' '.join(cases)} END"
+
+
+def sql_fixed(most: int, least: int) -> str:
+    """``fixed``: spans of at most ``most`` characters of ``p``, for a recursive query; the first row of each document (``n = -1``) is none."""
+    return f"""fixed(doc_id, n, s, e) AS (SELECT doc_id, -1, 0, 0 FROM p WHERE full_text <> '' UNION ALL
+SELECT doc_id, n + 1, e, e + CASE WHEN len - e <= {most} THEN len - e WHEN line > {least + 1} THEN line - 1 WHEN mark > {least + 1} THEN mark ELSE {most} END
+FROM (SELECT *, {most} - length(regexp_extract(w, '[^\\n]*$')) AS line, {most} - length(regexp_extract(w, '[^.!?。！？]*$')) AS mark FROM (SELECT f.*, length(full_text) AS len, substring(full_text, e + 1, {most}) AS w FROM fixed f JOIN p USING (doc_id) WHERE e < length(full_text))))"""

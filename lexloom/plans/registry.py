@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import evidence, intervals, search, storage, streams, text
+from lexloom.plans import benchmarks, evidence, intervals, search, storage, streams, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (intervals, text, search, evidence, storage, streams)
+MODULES = (intervals, text, search, evidence, storage, benchmarks, streams)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -224,6 +224,9 @@ SELECT id, source_format FROM f JOIN w USING (source_format) QUALIFY row_number(
     "section_layers": f"""WITH {SQL_C}, s AS (SELECT DISTINCT doc_id, section_path AS sp FROM c WHERE len(section_path) > 0), n AS (SELECT doc_id, sp, unnest(range(0, len(sp) + 1)) AS k FROM s)
 SELECT DISTINCT doc_id || ' / ' || array_to_string(sp[1:k], ' > ') AS node, CAST(k AS INT) AS layer FROM n""",
 }
+ORACLE["chunks_fixed_chars"] = f"WITH RECURSIVE {SQL_P}, {common.sql_fixed(600, 100)} SELECT doc_id, n, CAST(s AS BIGINT) AS start_offset, CAST(e AS BIGINT) AS end_offset FROM fixed WHERE n >= 0"
+ORACLE["replaced_chunks"] = f"""WITH RECURSIVE {SQL_C}, {SQL_P}, {common.sql_fixed(2000, 100)}, made AS (SELECT doc_id || ':' || n AS id, doc_id, n AS chunk_index FROM fixed WHERE n >= 0)
+SELECT id, doc_id, chunk_index FROM c WHERE doc_id NOT IN (SELECT doc_id FROM made) UNION ALL SELECT * FROM made"""
 ORACLE["parsed_blocks"] = f"""WITH {SQL_P}, parts AS (SELECT doc_id, string_split(regexp_replace(full_text, '\\n$', ''), chr(10)) AS ls FROM p WHERE length(full_text) > 0),
 numbered AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM parts), cut AS (SELECT doc_id, k, regexp_replace(line, '^[{BLANK}]+|[{BLANK}]+$', '', 'g') AS t FROM numbered),
 b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS block_no, t, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS e FROM cut WHERE t <> ''), l AS (SELECT *, {LEVEL} AS level FROM b)
