@@ -112,6 +112,7 @@ def queries() -> dict[str, Query]:
     return {"p1_found": p1_found, "p1_embedding_neighbours": p1_embedding_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_removal_spans": p6_removal_spans, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_reasons": p8_reasons}
 
 
+USABLE = "embedding IS NOT NULL AND len(embedding) = 64 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0"
 CJK = "\u3400-\u4dbf\u4e00-\u9fff"
 ITEMS = """items AS (SELECT DISTINCT 'chunk' AS kind, id, text FROM chunks WHERE text IS NOT NULL UNION SELECT DISTINCT 'document' AS kind, doc_id AS id, full_text AS text FROM parsed_document WHERE full_text IS NOT NULL)"""
 
@@ -140,6 +141,10 @@ both_ AS (SELECT kind, x, y FROM links UNION SELECT kind, y, x FROM links), reac
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"""WITH v AS (SELECT id, any_value(embedding)::DOUBLE[] AS v FROM chunks WHERE {USABLE} GROUP BY id), s AS (SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.v, b.v) AS sim FROM v a JOIN v b ON a.id <> b.id),
+n AS (SELECT x, y FROM s WHERE sim >= 0.9 - 1e-12 QUALIFY row_number() OVER (PARTITION BY x ORDER BY sim DESC, y) <= 5) SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM n""",
+        "p1_embedding_neighbours": f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE {USABLE}), s AS (SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.v, b.v) AS sim FROM v a JOIN v b ON a.id <> b.id)
+SELECT x AS vec_id, y AS neighbour, round(sim, 6) AS sim, row_number() OVER (PARTITION BY x ORDER BY sim DESC, CAST(y AS VARCHAR)) AS rank FROM s QUALIFY rank <= 5""",
         "p2_found": f"""WITH {ITEMS}, big AS (SELECT * FROM items WHERE {_sql_size('text')} > 600),
 parts AS (SELECT kind, id, unnest(string_split(regexp_replace(regexp_replace(text, '([.])(\\s)', '\\1' || chr(31) || '\\2', 'g'), '([。！？!?；;\\n\\r])', '\\1' || chr(31), 'g'), chr(31))) AS s FROM big)
 SELECT kind AS item_kind, id AS item_id, CASE WHEN max({_sql_size('s')}) > 600 THEN 'forced' ELSE 'natural' END AS cut FROM parts GROUP BY kind, id""",
