@@ -82,13 +82,27 @@ def around_snippet(text: Column, start: Column, length: Column, size: int = SNIP
     return F.when(length >= size, F.substring(text, start + 1, F.lit(size))).otherwise(F.substring(text, low.cast("int") + 1, F.lit(size)))
 
 
+def stripped(line: Column) -> Column:
+    """A line without the blanks around it."""
+    return F.regexp_replace(line, f"^[{BLANK}]+|[{BLANK}]+$", "")
+
+
 def heading_level(line: Column) -> Column:
-    """Level of a heading line, null for other lines.
+    """Level of a heading line, null for other lines; see :func:`stripped_heading_level`."""
+    return stripped_heading_level(stripped(line))
+
+
+def raw_heading_level(line: Column) -> Column:
+    """:func:`heading_level`, or 1 for lines that begin like an English legal heading or are short and nearly all capitals."""
+    return stripped_raw_heading_level(stripped(line))
+
+
+def stripped_heading_level(t: Column) -> Column:
+    """Level of a heading, null for other lines, of a line without blanks around it.
 
     At most 60 characters that don't end like a sentence: a numbered chapter or article is level 1, dotted
     numbers have as many levels as parts, roman numbers and letters are 2, bracketed and CJK list marks 3.
     """
-    t = F.regexp_replace(line, f"^[{BLANK}]+|[{BLANK}]+$", "")
     number = F.regexp_extract(t, NUMBERED, 1)
     roman = t.rlike(ROMAN) & t.rlike(ROMAN_FORM)
     level = (
@@ -100,13 +114,13 @@ def heading_level(line: Column) -> Column:
     return F.when((F.length(t) <= 60) & ~t.rlike(SENTENCE_END), level)
 
 
-def raw_heading_level(line: Column) -> Column:
-    """:func:`heading_level`, or 1 for lines that begin like an English legal heading or are short and nearly all capitals."""
-    t = F.regexp_replace(line, f"^[{BLANK}]+|[{BLANK}]+$", "")
+def stripped_raw_heading_level(t: Column) -> Column:
+    """:func:`raw_heading_level` of a line without blanks around it."""
     named = t.rlike(NAMED)
     letters, capitals = F.regexp_count(t, F.lit("\\p{L}")), F.regexp_count(t, F.lit("\\p{Lu}"))
-    shouted = (letters > 0) & (F.length(t) <= 60) & (capitals / F.nullif(letters, F.lit(0)) >= 0.8) & ~t.endswith(".")
-    return F.coalesce(heading_level(line), F.when((t != "") & (F.length(t) <= 80) & (named | shouted), 1))
+    # The length comes first, so that letters of long lines aren't counted.
+    shouted = (F.length(t) <= 60) & (letters > 0) & (capitals / F.nullif(letters, F.lit(0)) >= 0.8) & ~t.endswith(".")
+    return F.when(F.length(t) <= 80, F.coalesce(stripped_heading_level(t), F.when((t != "") & (named | shouted), 1)))
 
 
 def embedding_text(title: Column, path: Column, body: Column, most: int = 400) -> Column:

@@ -89,14 +89,13 @@ def token_budget_chunks(documents: DataFrame, key: str = "doc_id", text: str = "
     Sizes and heading levels of the lines are column expressions on the array of lines; only the greedy fold over them is a
     function, so a document stays one row from start to end and nothing is shuffled. Blank lines belong to no chunk of their own. Texts that are null or empty have no chunk.
     """
-    bare = lambda line: F.regexp_replace(line, f"^[{tx.BLANK}]+|[{tx.BLANK}]+$", "")
-    level = tx.raw_heading_level if headings else lambda line: F.lit(None).cast("int")
-
-    def facts(line: Column) -> Column:
-        title = F.when(level(line).isNotNull(), F.left(bare(line), F.lit(120)))
-        return F.struct(F.length(line).alias("length"), (bare(line) == "").alias("blank"), tx.estimated_tokens(line).alias("size"), level(line).alias("level"), title.alias("title"))
-
-    rows = documents.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(key, F.transform(F.split(F.regexp_replace(F.col(text), "\\n$", ""), "\\n", -1), facts).alias("lines"))
+    level = tx.stripped_raw_heading_level if headings else lambda t: F.lit(None).cast("int")
+    # In three steps, as every step works out its columns once for each line.
+    split = F.split(F.regexp_replace(F.col(text), "\\n$", ""), "\\n", -1)
+    bare = F.transform(split, lambda line: F.struct(line.alias("line"), tx.stripped(line).alias("t")))
+    found = F.transform(bare, lambda x: F.struct(F.length(x["line"]).alias("length"), tx.estimated_tokens(x["line"]).alias("size"), level(x["t"]).alias("level"), x["t"].alias("t")))
+    facts = F.transform(found, lambda x: F.struct(x["length"].alias("length"), x["size"].alias("size"), (x["t"] == "").alias("blank"), x["level"].alias("level"), F.when(x["level"].isNotNull(), F.left(x["t"], F.lit(120))).alias("title")))
+    rows = documents.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(key, facts.alias("lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,8 +16,8 @@ BLOCK, REACH = 8192, 2048
 CROWD = 100_000
 
 
-def text_blocks(documents: DataFrame) -> DataFrame:
-    """``(doc, block, body)`` of ``(doc, text)``; equal repeated deliveries are merged."""
+def text_blocks(documents: DataFrame, crowded: DataFrame) -> DataFrame:
+    """``(doc, block, copy, body)`` of ``(doc, text)``, with as many copies as ``crowded`` (``doc, block, copies``) says, else one; equal repeated deliveries are merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -27,7 +27,9 @@ def text_blocks(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(cuts), pa.string()), pa.array(range(len(cuts)), pa.int32()), pa.array(bodies, pa.string())], names=["doc", "block", "body"])
 
     cut = documents.filter("doc is not null and text is not null").select("doc", "text").mapInArrow(run, "doc string, block int, body string")
-    return cut.groupBy("doc", "block").agg(F.first("body").alias("body"))
+    # Copied before they are merged, so that texts are shuffled once.
+    copied = cut.join(crowded, ["doc", "block"], "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)))
+    return copied.groupBy("doc", "block", "copy").agg(F.first("body").alias("body"))
 
 
 def slices(spans: DataFrame, documents: DataFrame) -> DataFrame:
@@ -37,7 +39,6 @@ def slices(spans: DataFrame, documents: DataFrame) -> DataFrame:
     beyond it is cut off. Texts meet spans block by block, so neither a huge document nor one that holds most
     spans is gathered in one task. Repeated rows of a span come out as often as they occur, or once for long spans.
     """
-    blocks = text_blocks(documents)
     longest = documents.agg(F.max(F.length("text"))).first()[0] or 0
     spans = spans.filter("kind is not null and id is not null and lo >= 0 and lo < hi").withColumn("end", F.least("hi", F.lit(longest)))
     at = F.col("lo") - F.col("block") * BLOCK
@@ -49,11 +50,11 @@ def slices(spans: DataFrame, documents: DataFrame) -> DataFrame:
     # Crowded blocks are few, at most one per CROWD spans, and written, so that the planner knows how small they are.
     asked = near.select("doc", "block").unionAll(far.select("doc", "block")).groupBy("doc", "block").agg(F.count("*").alias("n"))
     crowded = written(asked.filter(F.col("n") > CROWD).select("doc", "block", F.ceil(F.col("n") / CROWD).cast("int").alias("copies")))
-    copied = blocks.join(crowded, ["doc", "block"], "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    blocks = text_blocks(documents, crowded)
 
     def met(some: DataFrame) -> DataFrame:
         some = some.join(crowded, ["doc", "block"], "left").withColumn("copy", F.pmod(F.xxhash64("id"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
-        return some.join(copied, ["doc", "block", "copy"])
+        return some.join(blocks, ["doc", "block", "copy"])
 
     near = met(near).select(*kept, F.substring("body", at + 1, F.col("end") - F.col("lo")).alias("slice"))
     begin, end = F.greatest(at, F.lit(0)), F.least(F.col("end") - F.col("block") * BLOCK, F.lit(BLOCK))
