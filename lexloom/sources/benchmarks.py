@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.operators.slices import slices
 
+#: Formats of the files (fixed values).
 NLI = "premise string, subset string, `hypothesises/labels` array<struct<hypothesis: string, label: string>>"
 SPANS = "tests array<struct<query: string, snippets: array<struct<file_path: string, span: array<int>, answer: string>>>>"
 

@@ -76,10 +76,10 @@ def test_corpus_ingest(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, text in (("a.txt", "ARTICLE 1\r\nThe fee is due.\r\n\r\nPay it."), ("b.TXT", " \n\t"), ("c.md", "no"), ("d.txt", "\u3000"), ("e.txt", "")):
         (tmp_path / "in" / name).write_bytes(text.encode())
-    documents, chunks = corpus.ingested(corpus.text_files(spark, str(tmp_path / "in")), "cuad", "ws")
-    assert sorted((r["doc_id"], r["title"], r["skipped"], r["chunks"]) for r in documents.collect()) == [("cuad:a.txt", "a", None, 1), ("cuad:b.TXT", "b", "empty", 0), ("cuad:d.txt", "d", "empty", 0)]
+    documents, chunks = corpus.ingested(corpus.text_files(spark, str(tmp_path / "in")), "corpus", "ws")
+    assert sorted((r["doc_id"], r["title"], r["skipped"], r["chunks"]) for r in documents.collect()) == [("corpus:a.txt", "a", None, 1), ("corpus:b.TXT", "b", "empty", 0), ("corpus:d.txt", "d", "empty", 0)]
     (row,) = chunks.collect()
-    assert (row["id"], row["section"], row["charspan"], row["session_id"], row["text"]) == ("cuad:a.txt:0", "ARTICLE 1", [10, 34], "ws", "The fee is due.\n\nPay it.")
+    assert (row["id"], row["section"], row["charspan"], row["session_id"], row["text"]) == ("corpus:a.txt:0", "ARTICLE 1", [10, 34], "ws", "The fee is due.\n\nPay it.")
     assert "fee" in row["search_tokens"].split()
 
 
